@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import dedup, mixing, packing, urlfilter, warc
+from . import dedup, jaccard, mixing, neardup, packing, urlfilter, warc
 from .sql import ORACLE
 
 
@@ -26,6 +26,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -34,11 +38,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.annotate(table(spark, sf_dir, "pages"))
 
 
+def op10_lattice_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op5_warc": op5_warc,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_url_filter": op9_url_filter,
+    "op10_lattice_neardup": op10_lattice_neardup,
     "pipeline": corpus_pipeline.run,
 }
