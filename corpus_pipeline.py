@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riverbend.llm import dedup, mixing, packing
+from riverbend.llm import dedup, jaccard, mixing, packing, toxicity
 from riverbend.llm.common import new_folder
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the model is trained on the labelled rows of docs itself."""
+    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup.keep_one(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.sample(docs)
 
@@ -20,7 +29,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("mixing", mix), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near copies", drop_near_copies), ("mixing", mix), ("packing", pack)]
 
 #: Learned scores and tokenizers are beyond SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None

@@ -52,9 +52,10 @@ class _Powers:
 
 
 class Spans:
-    """Words of a batch: doc (index of the text), start and end (bytes from the batch's first), hash; heads: hashes of the first k bytes for each k asked for."""
+    """Words of a batch: doc (index of the text), start and end (bytes from the batch's first), hash; heads and tails: hashes of the first and last k bytes for each k asked for. Bytes that
+    trim marks don't count at the ends of a word, unless the word has no others."""
 
-    def __init__(self, texts: pa.Array, heads: tuple[int, ...] = (), tails: tuple[int, ...] = ()):
+    def __init__(self, texts: pa.Array, heads: tuple[int, ...] = (), tails: tuple[int, ...] = (), trim: np.ndarray | None = None):
         letters, space = _tables()
         powers = _Powers()
         data, offsets = buffers(texts)
@@ -73,12 +74,15 @@ class Spans:
             closes = word.copy()
             closes[:-1] &= ~word[1:] | fresh[1:]
             s, e = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+            a, b = s, e
+            if trim is not None:
+                a, b = _trimmed(d, s, e, trim)
             up, down = powers.to(len(d) + 1)
             sums = np.zeros(len(d) + 1, np.uint64)
             np.cumsum(letters[d] * up[: len(d)], out=sums[1:])
             span = lambda a, b: mix((sums[b] - sums[a]) * down[a])
-            row = [s + at, e + at, span(s, e)]
-            row += [span(s, np.minimum(s + k, e)) for k in heads] + [span(np.maximum(e - k, s), e) for k in tails]
+            row = [s + at, e + at, span(a, b)]
+            row += [span(a, np.minimum(a + k, b)) for k in heads] + [span(np.maximum(b - k, a), b) for k in tails]
             parts.append(row)
             at = end
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * (1 + len(heads) + len(tails))
@@ -87,6 +91,16 @@ class Spans:
         self.doc = np.searchsorted(offsets, self.start, side="right") - 1
 
 
+def _trimmed(d: np.ndarray, s: np.ndarray, e: np.ndarray, trim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inner = np.flatnonzero(~trim[d])
+    if not len(inner) or not len(s):
+        return s, e
+    low, high = np.searchsorted(inner, s), np.searchsorted(inner, e) - 1
+    some = low <= high
+    low, high = np.minimum(low, len(inner) - 1), np.maximum(high, 0)
+    return np.where(some, inner[low], s), np.where(some, inner[high] + 1, e)
+
+
 def _edge(data: np.ndarray, first: np.ndarray, space: np.ndarray, at: int) -> int:
     """The first place from at on where no word is cut."""
     while at < len(data):

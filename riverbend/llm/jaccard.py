@@ -442,3 +442,10 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) ->
     named = spread(named).join(spread(linked), "root", "left").select("node", "check", F.coalesce("_least", "_first").alias("_name"))
     out = spread(sets).join(spread(named), ["node", "check"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("_name", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
+    """docs with one document of each component: that whose doc_id names it."""
+    groups = near_groups(docs, k, num, den)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")

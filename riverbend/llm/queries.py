@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import dedup, jaccard, mixing, neardup, packing, urlfilter, warc
+from . import dedup, jaccard, mixing, neardup, packing, toxicity, urlfilter, warc
 from .sql import ORACLE
 
 
@@ -34,6 +34,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.annotate(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_lattice_neardup": op10_lattice_neardup,
     "pipeline": corpus_pipeline.run,
