@@ -9,7 +9,8 @@ model of the largest marginal and of their sum, fitted to the training documents
 of tokens with a marginal of SPAN or more are its offending spans.
 
 Training uses at most MAX_TOXIC and MAX_CLEAN labelled rows, those with the lowest hashes of doc_id, and at most
-MAX_FEATURES features, so the model has a bounded size and travels with the tasks. Scoring is narrow and covers whole
+MAX_FEATURES features, so the model has a bounded size and travels with the tasks; it is trained in one task, which Spark repeats elsewhere
+if its executor is lost. Scoring is narrow and covers whole
 texts. Labels, language, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts get a score like any text without toxic tokens; without labelled rows of both
@@ -20,6 +21,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .bytewords import Spans, mix, sliced
 from .common import cut
 
-MAX_TOXIC, MAX_CLEAN = 1_500, 3_000
+MAX_TOXIC, MAX_CLEAN = 1_000, 2_000
 MAX_FEATURES = 20_000
 #: For features that mark tokens: least documents, least shares of toxic ones among them (the next only for
 #: documents that the one before leaves unexplained), false discovery rate.
@@ -151,12 +153,19 @@ def marking(doc: np.ndarray, feats: np.ndarray, y: np.ndarray) -> np.ndarray:
     A feature in n documents, a of them toxic, gets the Chernoff bound of so large a share by chance; the significant
     ones are chosen by Benjamini and Hochberg's rule. Then the same is done with the toxic documents that have none
     of the chosen features, until nothing more is found or left."""
-    flat, owner = feats.ravel(), np.repeat(doc, feats.shape[1])
-    order = np.lexsort((owner, flat))
-    flat, owner = flat[order], owner[order]
-    once = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])]
-    known, at = np.unique(flat[once], return_inverse=True)
-    owner = owner[once]
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for kind in range(feats.shape[1]):  # one kind of feature after the other, so that little is held at once
+        order = np.lexsort((doc, feats[:, kind]))
+        flat, owner = feats[order, kind], doc[order].astype(np.int32)
+        once = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])]
+        flat, owner = flat[once], owner[once]
+        edge = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        often = np.add.reduceat((y[owner] == 1).astype(np.int64), edge) >= LEAST
+        keep = np.repeat(often, np.diff(np.r_[edge, len(flat)]))
+        parts.append((flat[keep], owner[keep]))
+    known, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    at, owner = at.astype(np.int32), np.concatenate([p[1] for p in parts])
+    del parts
     clean = np.bincount(at, y[owner] == 0, minlength=len(known))
     chosen, open_, level = np.zeros(len(known), bool), y == 1, 0
     while open_.any() and level < len(SHARES):
@@ -269,15 +278,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fields of a model of all rows, pickled."""
+    rows: dict[int, tuple[str, int]] = {}
+    for batch in batches:
+        for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "_toxic")), strict=True):
+            rows[doc_id] = min(rows.get(doc_id, (text or "", toxic)), (text or "", toxic))  # one text of a repeated doc_id
+    held = [rows[i] for i in sorted(rows)]
+    m = train([t for t, _ in held], [x for _, x in held])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((m.features, m.weights, m.bias, m.moves, m.blend))], pa.binary())], names=["model"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     """Train on labelled rows that are not held out: of either label those with the lowest hashes, up to the bounds."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     pick = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, max_toxic), (0, max_clean))]
     chosen = cut(pick[0].union(pick[1]).select("doc_id", F.col("toxic").cast("int").alias("_toxic")))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    # bounded by max_toxic + max_clean rows
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_toxic").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    return train([t if isinstance(t, str) else None for t in rows["text"]], rows["_toxic"].tolist())
+    # at most max_toxic + max_clean rows, trained on in one task
+    rows = texts.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_toxic")
+    held = rows.repartition(1).mapInArrow(_fit, "model binary").first()
+    return Model(*pickle.loads(held[0])) if held else train([], [])
 
 
 def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
