@@ -1,6 +1,10 @@
-"""Registered queries of the time-series engine and their DuckDB counterparts."""
+"""All registered queries of the time-series engine and their DuckDB counterparts."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from . import series
+
+QUERIES = {**series.QUERIES}
+ORACLE = {**series.ORACLE}
