@@ -34,52 +34,52 @@ def _share(hit: Column, of: Column) -> Column:
     return F.when(of == 0, 1.0).otherwise(F.try_divide(hit, of))
 
 
-def _with_average(recalls: DataFrame, by: Sequence[str]) -> DataFrame:
-    """recalls (by, cls, recall) with the class average as one more class."""
-    mean = recalls.where("cls <> 'global'").groupBy(*by).agg(F.avg("recall").alias("recall")).select(*by, F.lit("avg").alias("cls"), "recall")
-    return recalls.unionByName(mean)
+def _classes(per_class: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, cls, recall) from per_class (by, cls, hit, n), one row per class that occurs: the classes, all of them together and
+    their average. A group's classes are few, so they are unfolded from one row per group; the input is read once."""
+    each = F.collect_list(F.struct("cls", F.try_divide(F.col("hit"), F.col("n")).alias("recall"))).alias("each")
+    grouped = per_class.groupBy(*by).agg(each, F.coalesce(F.sum("hit"), F.lit(0)).alias("_h"), F.coalesce(F.sum("n"), F.lit(0)).alias("_n"))
+    mean = F.aggregate("each", F.lit(0.0), lambda acc, x: acc + x["recall"]) / F.nullif(F.size("each"), F.lit(0))
+    row = lambda name, v: F.array(F.struct(F.lit(name).alias("cls"), v.cast("double").alias("recall")))
+    rows = F.concat(row("global", _share(F.col("_h"), F.col("_n"))), F.col("each"), row("avg", mean))
+    return grouped.select(*by, F.explode(rows).alias("_r")).select(*by, "_r.cls", "_r.recall")
 
 
 def _joined(recalls: DataFrame, precision: DataFrame, by: Sequence[str], beta: float) -> DataFrame:
-    out = recalls.join(precision, list(by)) if by else one_row(recalls, precision)
-    return out.select(*by, "cls", "precision", "recall", f_beta(F.col("precision"), F.col("recall"), beta).alias("f"))
+    out = recalls.join(precision, list(by), "left") if by else one_row(recalls, precision)
+    p = F.coalesce("precision", F.lit(1.0))
+    return out.select(*by, "cls", p.alias("precision"), "recall", f_beta(p, F.col("recall"), beta).alias("f"))
 
 
 def point_metrics(records: DataFrame, by: Sequence[str] = (), beta: float = 1.0) -> DataFrame:
     """(by, cls, precision, recall, f) from records with label and pred; precision is that of all classes together.
 
     One aggregation per (by, label) feeds both; nothing else sees single records."""
-    counts = records.groupBy(*by, "label").agg(F.count("*").alias("n"), F.sum("pred").alias("hits"))
+    counts = records.groupBy(*by, "label").agg(F.count("*").alias("n"), F.sum("pred").alias("hit"))
     real = F.col("label") > 0
-    totals = counts.groupBy(*by).agg(F.sum(F.when(real, F.col("hits")).otherwise(0)).alias("tp"), F.sum("hits").alias("pp"), F.sum(F.when(real, F.col("n")).otherwise(0)).alias("rp"))
+    totals = counts.groupBy(*by).agg(F.sum(F.when(real, F.col("hit")).otherwise(0)).alias("tp"), F.sum("hit").alias("pp"))
     precision = totals.select(*by, _share(F.col("tp"), F.col("pp")).alias("precision"))
-    every = totals.select(*by, F.lit("global").alias("cls"), _share(F.col("tp"), F.col("rp")).alias("recall"))
-    each = counts.where(real).select(*by, F.col("label").cast("string").alias("cls"), _share(F.col("hits"), F.col("n")).alias("recall"))
-    return _joined(_with_average(every.unionByName(each), by), precision, by, beta)
+    return _joined(_classes(counts.where(real).withColumn("cls", F.col("label").cast("string")), by), precision, by, beta)
 
 
 def range_metrics(real: DataFrame, predicted: DataFrame, params: Mapping[str, object], by: Sequence[str] = (), keys: Sequence[str] = KEYS, beta: float = 1.0, strict: bool = False) -> DataFrame:
     """(by, cls, precision, recall, f) from real (keys, class, r_start, r_end) and predicted ranges.
 
     Precision is the mean over predicted ranges, 1 without any; a class's recall the mean over its ranges; avg the mean of the classes."""
-    p = range_precisions(predicted, real, params, keys, strict).groupBy(*by).agg(F.avg("reward").alias("precision"))
-    r = range_recalls(real, predicted, params, keys, strict)
-    each = r.groupBy(*by, F.col("class").cast("string").alias("cls")).agg(F.avg("reward").alias("recall"))
-    every = r.groupBy(*by).agg(F.avg("reward").alias("recall")).select(*by, F.lit("global").alias("cls"), F.coalesce("recall", F.lit(1.0)).alias("recall"))
-    recalls = _with_average(every.unionByName(each), by)
-    if by:
-        out = recalls.join(p, list(by), "left").withColumn("precision", F.coalesce("precision", F.lit(1.0)))
-    else:
-        out = one_row(recalls, p.select(F.coalesce("precision", F.lit(1.0)).alias("precision")))
-    return out.select(*by, "cls", "precision", "recall", f_beta(F.col("precision"), F.col("recall"), beta).alias("f"))
+    precision = range_precisions(predicted, real, params, keys, strict).groupBy(*by).agg(F.avg("reward").alias("precision"))
+    per_class = range_recalls(real, predicted, params, keys, strict).groupBy(*by, F.col("class").cast("string").alias("cls")).agg(F.sum("reward").alias("hit"), F.count("*").alias("n"))
+    return _joined(_classes(per_class, by), precision, by, beta)
 
 
 def thresholds(scores: DataFrame, n: int = 500) -> DataFrame:
     """(t, threshold): n values from the lowest to the highest score, and infinity."""
     limits = scores.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
     grid = limits.select("_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("t"))
-    step = F.col("_lo") + F.col("t") * ((F.col("_hi") - F.col("_lo")) / (n - 1))
-    return grid.select("t", F.when(F.col("t") == n, F.lit(INFINITY)).when(F.col("t") == n - 1, F.col("_hi")).otherwise(step).alias("threshold"))
+    return grid.select("t", threshold_at(F.col("t"), F.col("_lo"), F.col("_hi"), n).alias("threshold"))
+
+
+def threshold_at(t: Column, lo: Column, hi: Column, n: int) -> Column:
+    return F.when(t == n, F.lit(INFINITY)).when(t == n - 1, hi).otherwise(lo + t * ((hi - lo) / (n - 1)))
 
 
 def _reached(score: Column, lo: Column, hi: Column, n: int) -> Column:
@@ -96,20 +96,20 @@ def point_curve(records: DataFrame, n: int = 500, beta: float = 1.0) -> DataFram
     One histogram of the last threshold that each record reaches, by label, then counts summed from above: the records are
     read once whatever the number of thresholds."""
     limits = records.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    cells = one_row(records, limits).groupBy("label", _reached(F.col("score"), F.col("_lo"), F.col("_hi"), n).alias("t")).agg(F.count("*").alias("c"))
-    labels = cells.select("label").distinct()
-    grid = thresholds(records, n).crossJoin(F.broadcast(labels)).join(cells, ["label", "t"], "left")
+    cells = one_row(records, limits).groupBy("label", _reached(F.col("score"), F.col("_lo"), F.col("_hi"), n).alias("t")).agg(F.count("*").alias("c"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    # at most n cells a label: one row per label, unfolded over the thresholds
+    labels = cells.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("t", "c"))).alias("at"), F.sum("c").alias("n"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    grid = labels.select("label", "n", "at", "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("t"))
     above = Window.partitionBy("label").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    sizes = cells.groupBy("label").agg(F.sum("c").alias("n"))
-    counts = grid.select("t", "threshold", "label", F.coalesce(F.sum("c").over(above), F.lit(0)).alias("hits")).join(F.broadcast(sizes), "label")
-    real = F.col("label") > 0
-    totals = counts.groupBy("t", "threshold").agg(F.sum(F.when(real, F.col("hits")).otherwise(0)).alias("tp"), F.sum("hits").alias("pp"), F.sum(F.when(real, F.col("n")).otherwise(0)).alias("rp"))
-    by = ["t", "threshold"]
-    precision = totals.select(*by, _share(F.col("tp"), F.col("pp")).alias("precision"))
-    every = totals.select(*by, F.lit("global").alias("cls"), _share(F.col("tp"), F.col("rp")).alias("recall"))
-    each = counts.where(real).select(*by, F.col("label").cast("string").alias("cls"), _share(F.col("hits"), F.col("n")).alias("recall"))
-    out = _with_average(every.unionByName(each), by).join(precision, by)
-    return out.select(*by, "cls", "precision", "recall", f_beta(F.col("precision"), F.col("recall"), beta).alias("f"))
+    hit = F.sum(F.coalesce(F.element_at("at", F.col("t")), F.lit(0))).over(above)
+    counts = grid.select("t", "label", "n", "_lo", "_hi", hit.alias("hit"))
+    per_t = counts.groupBy("t").agg(F.collect_list(F.struct("label", "hit", "n")).alias("_l"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    real = F.filter("_l", lambda x: x["label"] > 0)
+    total = lambda xs, name: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + x[name])
+    per_t = per_t.select("t", threshold_at(F.col("t"), F.col("_lo"), F.col("_hi"), n).alias("threshold"), _share(total(real, "hit"), total(F.col("_l"), "hit")).alias("precision"), F.explode_outer(real).alias("_c"))
+    per_class = per_t.select("t", "threshold", "precision", F.col("_c.label").cast("string").alias("cls"), F.col("_c.hit").alias("hit"), F.col("_c.n").alias("n"))
+    out = _classes(per_class.where("cls IS NOT NULL"), ["t", "threshold", "precision"])
+    return out.select("t", "threshold", "cls", "precision", "recall", f_beta(F.col("precision"), F.col("recall"), beta).alias("f"))
 
 
 def range_curve(records: DataFrame, params: Mapping[str, object], n: int = 500, beta: float = 1.0, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -154,13 +154,11 @@ def rolled_up(real: DataFrame, predicted: DataFrame, params: Mapping[str, object
     r = range_recalls(real, predicted, params, keys).select(app, trace, F.col("class").cast("string").alias("cls"), "reward")
     level = F.when(F.col("_g") == 3, F.lit("global")).when(F.col("_g") == 1, F.concat(F.lit("app_"), F.col(app).cast("string"))).otherwise(F.concat(F.lit("trace_"), F.col(trace).cast("string")))
     sets = [[], [app], [app, trace]]
-    mean = lambda df, more, name: df.groupingSets([s + more for s in sets], app, trace, *more).agg(F.avg("reward").alias(name), F.grouping_id(*[app, trace]).alias("_g") if not more else (F.grouping(app) * 2 + F.grouping(trace)).alias("_g"))
-    precision = mean(p, [], "precision").select(level.alias("granularity"), "precision")
-    each = mean(r, ["cls"], "recall").select(level.alias("granularity"), "cls", "recall")
-    every = mean(r, [], "recall").select(level.alias("granularity"), F.lit("global").alias("cls"), "recall")
-    recalls = _with_average(every.unionByName(each), ["granularity"])
-    out = recalls.join(precision, "granularity", "left").withColumn("precision", F.coalesce("precision", F.lit(1.0)))
-    out = out.select("granularity", "cls", "precision", "recall", f_beta(F.col("precision"), F.col("recall"), beta).alias("f"))
+    precision = p.groupingSets(sets, app, trace).agg(F.avg("reward").alias("precision"), F.grouping_id(app, trace).alias("_g")).select(level.alias("granularity"), "precision")
+    per_class = r.groupBy(app, trace, "cls").agg(F.sum("reward").alias("hit"), F.count("*").alias("n"))
+    per_class = per_class.groupingSets([[*s, "cls"] for s in sets], app, trace, "cls").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"), (F.grouping(app) * 2 + F.grouping(trace)).alias("_g"))
+    recalls = _classes(per_class.select(level.alias("granularity"), "cls", "hit", "n"), ["granularity"])
+    out = _joined(recalls, precision, ["granularity"], beta)
     means = [out.where(F.col("granularity").startswith(f"{k}_")).groupBy("cls").agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f")]).select(F.lit(f"{k}_avg").alias("granularity"), "cls", "precision", "recall", "f") for k in ("app", "trace")]
     return out.unionByName(means[0]).unionByName(means[1])
 

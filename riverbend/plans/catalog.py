@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from . import scoring, series
+from .scoring import flagship
 
-from . import series
-
-QUERIES = {**series.QUERIES}
-ORACLE = {**series.ORACLE}
+QUERIES = {**series.QUERIES, **scoring.QUERIES}
+ORACLE = {**series.ORACLE, **scoring.ORACLE}
+__all__ = ["ORACLE", "QUERIES", "flagship"]
