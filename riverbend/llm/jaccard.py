@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Spans, mix, sliced
-from .common import cut, shuffle_parts, spread
+from .common import cut, shuffle_parts, small_batches, spread
 from .graph import components
 
 K = 4
@@ -429,6 +429,7 @@ def links(alive: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
 
 def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = cut(rows.mapInArrow(lambda it: _sets(it, k), SET))
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0

@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 CAPACITY = 1024
 END_ID = 0
 #: Longer texts are encoded in slices of about so many characters.
@@ -171,6 +173,7 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str | None] | None = None, capac
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     tokenizer: path of a tokenizers file and, if wanted, of the same vocabulary as tiktoken ranks; both must be there on every executor."""
+    small_batches(docs.sparkSession)
     paths = tokenizer or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _work(it, paths, capacity), OUT)

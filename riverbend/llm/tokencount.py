@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .packing import Encoder, default_tokenizer
 
 RULES = ("first", "last", "most")
@@ -102,6 +103,7 @@ def _work(batches: Iterator[pa.RecordBatch], paths: tuple[str, str | None], rule
 
 def count(docs: DataFrame, rule: str = "first", tokenizer: tuple[str, str | None] | None = None) -> DataFrame:
     """(doc_id, section, start, end, tokens, doc_tokens), one row per line of each document."""
+    small_batches(docs.sparkSession)
     paths = tokenizer or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _work(it, paths, rule), OUT)

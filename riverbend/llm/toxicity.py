@@ -32,14 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Spans, mix, sliced
-from .common import cut
+from .common import cut, small_batches
 
-MAX_TOXIC, MAX_CLEAN = 1_000, 2_000
+MAX_TOXIC, MAX_CLEAN = 600, 1_200
 MAX_FEATURES = 20_000
 #: For features that mark tokens: least documents, least shares of toxic ones among them (the next only for
 #: documents that the one before leaves unexplained), false discovery rate.
 LEAST, SHARES, FALSE = 3, (1.0, 0.9, 0.75), 0.005
 WINDOW = 200
+#: Bytes of text scored at a time.
+STEP = 2 << 20
 STEPS = 50
 THRESHOLD = 0.3
 SPAN = 0.5
@@ -53,8 +55,13 @@ def tokens(texts: pa.Array) -> tuple[Spans, np.ndarray]:
     """Words of the texts and, for each, the hashes of its features, one column a kind."""
     # simple case mapping: as many characters as before, so offsets in characters hold
     words = Spans(pc.utf8_lower(texts.cast(pa.string())), HEADS, TAILS, trim=_EDGE)
-    columns = [mix(h + np.uint64(i + 1)) for i, h in enumerate((words.hash, *words.heads, *words.tails))]
-    return words, np.stack(columns, axis=1) if len(words.hash) else np.zeros((0, 1 + len(HEADS) + len(TAILS)), np.uint64)
+    kinds = [words.hash, *words.heads, *words.tails]
+    words.heads = words.tails = ()
+    feats = np.empty((len(words.hash), len(kinds)), np.uint64)
+    for i in range(len(kinds)):
+        feats[:, i] = mix(kinds[i] + np.uint64(i + 1))
+        kinds[i] = None  # each is as large as a column
+    return words, feats
 
 
 @dataclass
@@ -269,7 +276,7 @@ def judge(model: Model, texts: pa.Array, spans: bool = True) -> tuple[np.ndarray
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, spans: bool) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
+    for batch in sliced(batches, most=STEP):
         score, found = judge(model, batch.column("text"), spans)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(found, _SPANS)], names=["doc_id", "score", "spans"])
 
@@ -291,6 +298,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     """Train on labelled rows that are not held out: of either label those with the lowest hashes, up to the bounds."""
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     pick = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for v, n in ((1, max_toxic), (0, max_clean))]
     chosen = cut(pick[0].union(pick[1]).select("doc_id", F.col("toxic").cast("int").alias("_toxic")))
@@ -314,7 +322,7 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
+    for batch in sliced(batches, most=STEP):
         scores, _ = judge(model, batch.column("text"), spans=False)
         yield batch.filter(pa.array(scores < threshold))
 

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, shuffle_parts, spread
+from .common import cut, new_folder, shuffle_parts, small_batches, spread
 
 MIN_PAYLOAD = 100
 ARCHIVE_BYTES = 64 << 20
@@ -228,6 +228,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all pages to archives in folder (a URI that executors can write to); returns the manifest, one row per archive."""
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
     long = F.octet_length(html) >= min_payload
