@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scoring, series
+from . import explaining, scoring, series
 from .scoring import flagship
 
-QUERIES = {**series.QUERIES, **scoring.QUERIES}
-ORACLE = {**series.ORACLE, **scoring.ORACLE}
+QUERIES = {**series.QUERIES, **scoring.QUERIES, **explaining.QUERIES}
+ORACLE = {**series.ORACLE, **scoring.ORACLE, **explaining.ORACLE}
 __all__ = ["ORACLE", "QUERIES", "flagship"]
