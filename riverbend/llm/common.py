@@ -21,6 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='riverbend-')}"
         spark.conf.set("spark.checkpoint.dir", at)
+    if "://" not in at:  # as Spark's default file system has it, with its scheme
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        at = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        at = at.replace("file:/", "file:///", 1) if at.startswith("file:/") else at
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
     return at

@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import buffers, sliced
-from .common import cut, new_folder, shuffle_parts
+from .common import cut, new_folder, shuffle_parts, small_batches
 
 ORDER, BITS = 4, 6
 SIZE = 1 << (ORDER * BITS)
 QUANTILE = 0.995
 GRID = 0.001
 SHARDS = 64
+#: Bytes of text taken at a time.
+STEP = 1 << 20
 
 
 def alphabet() -> np.ndarray:
@@ -71,17 +73,17 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
-    for batch in sliced(batches):
+    for batch in sliced(batches, most=STEP):
         code, _, _ = grams(batch.column("text"))
         if total is None:
-            total = np.zeros(SIZE, np.int64)
+            total = np.zeros(SIZE, np.int32)
         seen, n = np.unique(code, return_counts=True)
-        total[seen] += n
+        total[seen] += n.astype(np.int32)
     if total is not None:
         seen = np.flatnonzero(total)
         for i in range(0, len(seen), 50_000):
             part = seen[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["g", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], names=["g", "c"])
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -143,7 +145,7 @@ def load(folder: str) -> np.ndarray:
         g, p = _read(f"{folder}/p{order}", ("g", "p"))
         dense[g] = p
         below = dense
-    return np.log(below)
+    return np.log(below, out=below)
 
 
 SCORED = "doc_id long, lang string, bytes long, nats double"
@@ -151,7 +153,7 @@ SCORED = "doc_id long, lang string, bytes long, nats double"
 
 def _score(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     table = None
-    for batch in sliced(batches):
+    for batch in sliced(batches, most=STEP):
         if table is None:
             table = load(folder)
         code, _, lengths = grams(batch.column("text"))
@@ -187,11 +189,13 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, folder: str | None = None) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept), one row per row of docs. Trusted are the documents labelled with quality 1."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or new_folder(spark, "quality")
     trusted = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select("doc_id")
-    train(docs.join(trusted, "doc_id", "left_semi"), folder)
+    # the trusted ids grow with the corpus, so this is a merge join at every size and never a broadcast
+    train(docs.join(trusted.hint("merge"), "doc_id", "left_semi"), folder)
     scored = cut(score(docs, folder))
-    level = cut(thresholds(scored.join(trusted, "doc_id", "left_semi"), quantile))
+    level = cut(thresholds(scored.join(trusted.hint("merge"), "doc_id", "left_semi"), quantile))
     # at most a row per language on the grid's windows; the row for all languages stands in for those without one
     every = level.where("every").select(F.col("level").alias("_every"))
     own = level.where("NOT every").select(F.col("lang").alias("_lang"), "level")
