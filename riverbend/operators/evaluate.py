@@ -135,8 +135,10 @@ def range_curve(records: DataFrame, params: Mapping[str, object], n: int = 500,
 
 
 def areas(curve: DataFrame) -> DataFrame:
-    """(cls, auc): area under precision over recall; where recalls repeat, higher thresholds come first."""
-    return auc(curve.withColumn("_tie", -F.col("t")), "recall", "precision", "_tie", ["cls"])
+    """(cls, auc): area under precision over recall; where recalls repeat, higher thresholds come first.
+
+    Recalls are taken to nine decimals, so that the order of a sum's terms decides no tie."""
+    return auc(curve.withColumn("_tie", -F.col("t")).withColumn("recall", F.round("recall", 9)), "recall", "precision", "_tie", ["cls"])
 
 
 def best_points(curve: DataFrame) -> DataFrame:

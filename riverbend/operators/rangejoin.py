@@ -31,11 +31,16 @@ def label_records(records: DataFrame, events: DataFrame, ignore: Sequence[int] =
     events: keys, type_id, root_cause_start, root_cause_end, extended_effect_end (may be null), event_order; an event ends
     with its extended effect where it has one. Of several events the one latest in event_order counts."""
     kept = events.where(~F.col("type_id").isin(*ignore)) if ignore else events
-    end = F.coalesce("extended_effect_end", "root_cause_end")
-    slim = kept.select(*keys, "type_id", "event_order", seconds(F.col("root_cause_start")).alias("_s"), seconds(end).alias("_e"))
-    hits = interval_join(records.select(*keys, ts), slim, seconds(F.col(ts)), F.col("_s"), F.col("_e"), width, keys)
-    last = hits.groupBy(*keys, ts).agg(F.max(F.struct("event_order", "type_id")).getField("type_id").alias("label"))
-    return records.join(last, [*keys, ts], "left").withColumn("label", F.coalesce(F.col("label"), F.lit(0)).cast("int"))
+    low, high = seconds(F.col("root_cause_start")), seconds(F.coalesce("extended_effect_end", "root_cause_end"))
+    bin_of = lambda c: F.floor(c / width).cast("long")
+    slim = kept.select(*keys, "type_id", "event_order", low.alias("_s"), high.alias("_e")).where("_s <= _e")
+    slim = slim.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_s")), bin_of(F.col("_e")))))
+    # the few events of a bin as one row, so each record meets one row and is read once
+    per_bin = slim.groupBy(*keys, "_bin").agg(F.collect_list(F.struct("event_order", "type_id", "_s", "_e")).alias("_events"))
+    held = records.withColumn("_at", seconds(F.col(ts))).withColumn("_bin", bin_of(F.col("_at"))).join(per_bin, [*keys, "_bin"], "left")
+    hits = F.filter("_events", lambda x: (x["_s"] <= F.col("_at")) & (F.col("_at") <= x["_e"]))
+    last = F.array_max(hits)["type_id"]
+    return held.withColumn("label", F.coalesce(last, F.lit(0)).cast("int")).select(*[c for c in records.columns if c != "label"], "label")
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS, strict: bool = False, width: int = 64) -> DataFrame:

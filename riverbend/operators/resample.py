@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEYS, filled, whole
+from ..functions.frames import KEYS, filled, ordered, whole
 
 AGGREGATES = {"mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum, "median": F.median}
 
@@ -17,19 +17,19 @@ def seconds(ts: Column) -> Column:
     return F.unix_timestamp(ts)
 
 
-def _grid(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every bin between the first and the last of each period."""
-    limits = bins.groupBy(*keys).agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"))
-    return limits.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("_bin"))
-
-
 def _binned(df: DataFrame, features: Sequence[str], agg: str | Mapping[str, str], label: str | None, keys: Sequence[str], fill: bool) -> DataFrame:
+    """Aggregated bins with a row for every bin between the first and the last of a period. Each bin is unfolded up to the next
+    one that has records, so the input is read once and no grid is joined."""
     kinds = agg if isinstance(agg, Mapping) else dict.fromkeys(features, agg)
+    names = [*features, *([label] if label else [])]
     aggs = [AGGREGATES[kinds[c]](c).alias(c) for c in features] + ([F.max(label).alias(label)] if label else [])
     bins = df.groupBy(*keys, "_bin").agg(*aggs)
-    out = _grid(bins, keys).join(bins, [*keys, "_bin"], "left")
+    following = F.coalesce(F.lead("_bin").over(ordered(keys, "_bin")), F.col("_bin") + 1)
+    dense = bins.withColumn("_next", following).withColumn("_at", F.explode(F.sequence("_bin", F.col("_next") - 1)))
+    own = F.col("_at") == F.col("_bin")
+    out = dense.select(*keys, F.col("_at"), *[F.when(own, F.col(c)).alias(c) for c in names]).withColumnRenamed("_at", "_bin")
     if fill:
-        out = out.select(*keys, "_bin", *[filled(F.col(c), keys, "_bin").alias(c) for c in [*features, *([label] if label else [])]])
+        out = out.select(*keys, "_bin", *[filled(F.col(c), keys, "_bin").alias(c) for c in names])
     return out
 
 

@@ -4,7 +4,7 @@ GT (ground-truth intervals), LAB (labels), S (scores) and P (predictions), each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import filled, numbered, one_row
@@ -47,12 +47,11 @@ h AS (SELECT trace, h - lo AS idx, h * 3600 AS sec, f_cnt, f_sum, f_users,
 def ground_truth(h: DataFrame) -> DataFrame:
     """GT: runs of hours above the 95th percentile of the trace: trace, r_start, r_end, type_id, event_order and times."""
     high = h.groupBy("trace").agg(F.percentile("f_sum", 0.95).alias("p95"))
-    found = windows.ranges(h.join(F.broadcast(high), "trace"), F.col("f_sum") > F.col("p95"))
-    first = h.groupBy("trace").agg(F.min("sec").alias("_first"))
-    out = found.join(F.broadcast(first), "trace")
-    at = lambda c: F.timestamp_seconds(F.col("_first") + c * HOUR)
-    ext = F.when(F.col("r_start") % 2 == 0, at(F.col("r_end") + 1))
-    return out.select("trace", "r_start", "r_end", (F.col("r_start") % 6 + 1).cast("int").alias("type_id"), F.col("r_start").alias("event_order"), at(F.col("r_start")).alias("root_cause_start"), at(F.col("r_end") - 1).alias("root_cause_end"), ext.alias("extended_effect_end"))
+    above = h.join(high, "trace").where("f_sum > p95")
+    run = F.col("idx") - F.row_number().over(Window.partitionBy("trace").orderBy("idx"))
+    found = above.withColumn("_run", run).groupBy("trace", "_run").agg(F.min("idx").alias("r_start"), (F.max("idx") + 1).alias("r_end"), F.min("sec").alias("_s"), F.max("sec").alias("_e"))
+    ext = F.when(F.col("r_start") % 2 == 0, F.timestamp_seconds(F.col("_e") + 2 * HOUR))
+    return found.select("trace", "r_start", "r_end", (F.col("r_start") % 6 + 1).cast("int").alias("type_id"), F.col("r_start").alias("event_order"), F.timestamp_seconds("_s").alias("root_cause_start"), F.timestamp_seconds("_e").alias("root_cause_end"), ext.alias("extended_effect_end"))
 
 
 GT = """

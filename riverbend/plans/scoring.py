@@ -173,7 +173,7 @@ cp AS (SELECT t, CASE WHEN sum(hits) = 0 THEN 1.0 ELSE sum(CASE WHEN label > 0 T
 cr AS (SELECT t, 'global' AS cls, sum(hits)::DOUBLE / sum(n) AS recall FROM cnt WHERE label > 0 GROUP BY t UNION ALL SELECT t, label::VARCHAR, hits::DOUBLE / n FROM cnt WHERE label > 0),
 ca AS (SELECT * FROM cr UNION ALL SELECT t, 'avg', avg(recall) FROM cr WHERE cls <> 'global' GROUP BY t),
 curve AS (SELECT ca.t, cls, precision, recall, {_F1} AS f FROM ca JOIN cp ON cp.t = ca.t)"""
-_AREA = "SELECT cls, round(coalesce(sum(a), 0), 6) AS auc FROM (SELECT cls, (recall - lag(recall) OVER w) * (precision + lag(precision) OVER w) / 2 AS a FROM curve WINDOW w AS (PARTITION BY cls ORDER BY recall, -t)) GROUP BY cls"
+_AREA = "SELECT cls, round(coalesce(sum(a), 0), 6) AS auc FROM (SELECT cls, (recall - lag(recall) OVER w) * (precision + lag(precision) OVER w) / 2 AS a FROM (SELECT * REPLACE (round(recall, 9) AS recall) FROM curve) WINDOW w AS (PARTITION BY cls ORDER BY recall, -t)) GROUP BY cls"
 
 
 @query(sql(*FULL, _REC, _CURVE, body=f"SELECT t, cls, {r6('precision', 'recall', 'f')} FROM curve"))

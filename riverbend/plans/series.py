@@ -248,7 +248,7 @@ def _scaled(how: str, kind: str) -> Callable[[SparkSession, str], DataFrame]:
 for _kind in ("std", "minmax", "robust"):
     _regular = "(SELECT {0} FROM h WHERE trace IN ('click', 'view'))"
     _o, _s = _OFF[_kind]
-    _items = ", ".join(f"round(({c} - {_regular.format(_o.format(c=c, o=''))}) / {_regular.format(_s.format(c=c, o=''))}, 6) AS {c}" for c in ("f_sum", "f_cnt"))
+    _items = ", ".join(f"round(({c} - {_regular.format(_o.format(c=c, o=''))}) / coalesce(nullif({_regular.format(_s.format(c=c, o=''))}, 0), 1), 6) AS {c}" for c in ("f_sum", "f_cnt"))
     QUERIES[f"scale_{_kind}_regular"] = _scaled("regular", _kind)
     ORACLE[f"scale_{_kind}_regular"] = sql(fx.H, body=f"SELECT trace, idx, {_items} FROM h")
     QUERIES[f"scale_{_kind}_trace"] = _scaled("trace", _kind)
