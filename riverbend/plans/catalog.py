@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import explaining, scoring, series, streams
+from . import explaining, extras, scoring, series, streams
 from .scoring import flagship
 
-QUERIES = {**series.QUERIES, **scoring.QUERIES, **explaining.QUERIES, **streams.QUERIES}
-ORACLE = {**series.ORACLE, **scoring.ORACLE, **explaining.ORACLE, **streams.ORACLE}
+QUERIES = {**series.QUERIES, **scoring.QUERIES, **explaining.QUERIES, **streams.QUERIES, **extras.QUERIES}
+ORACLE = {**series.ORACLE, **scoring.ORACLE, **explaining.ORACLE, **streams.ORACLE, **extras.ORACLE}
 __all__ = ["ORACLE", "QUERIES", "flagship"]
