@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import math
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +39,32 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, so that later stages survive lost executors
-    without recomputing it. Spark removes the files when the frame is no longer referenced and
-    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df computed once and kept in the shared folder, so that later stages survive lost executors without recomputing it.
+    Spark removes the files when the frame is no longer referenced and spark.cleaner.referenceTracking.cleanCheckpoints is set.
+
+    A checkpointed frame keeps the size estimate of its plan, and a join's estimate is the product of its sides': over the
+    rounds of an iteration these numbers grow to megabytes and planning takes longer than the work. The frame returned starts
+    from no estimate; AQE goes by the sizes at run time. It has no known partitioning either."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)
+    fresh = spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
+    return type(kept)(fresh, spark)
+
+
+def lean(work: Callable) -> Callable:
+    """work, from batches to batches, with its memory given back to the system when it ends: Python workers live on and
+    would otherwise keep the most that any of their tasks ever held."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
 
 
 def text_of(col: str = "text"):
@@ -62,11 +86,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def digits_for(rows: int, per_group: int, base: int = 16) -> int:
-    """How many digits of a hash make groups of about per_group rows; at least one."""
-    return max(1, math.ceil(math.log(max(rows, 1) / per_group, base)) if rows > per_group else 1)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """df dealt out evenly. Spark splits skewed partitions of a join only where both sides come straight from
     a shuffle for that join; a side that an aggregation has left partitioned by the key needs this first."""

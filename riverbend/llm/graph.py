@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread
+from .common import cut
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,16 +26,16 @@ def components(edges: DataFrame) -> DataFrame:
         rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
         low = pairs.groupBy("a").agg(F.min(rank("b")).alias("low"))
         follows = cut(low.select(F.col("a").alias("node"), F.least(F.col("low"), rank("a")).getField("n").alias("root")))
-        ahead = spread(follows.select(F.col("node").alias("root"), F.col("root").alias("_next")))
+        ahead = follows.select(F.col("node").alias("root"), F.col("root").alias("_next"))
         follows = cut(follows.join(ahead, "root", "left").select("node", F.coalesce("_next", "root").alias("root")))
         if found is None:
             found = follows
         else:
-            onward = spread(follows.select(F.col("node").alias("root"), F.col("root").alias("_next")))
+            onward = follows.select(F.col("node").alias("root"), F.col("root").alias("_next"))
             found = cut(found.join(onward, "root", "left").select("node", F.coalesce("_next", "root").alias("root")))
-        left = spread(follows.select(F.col("node").alias("a"), F.col("root").alias("_a")))
-        right = spread(follows.select(F.col("node").alias("b"), F.col("root").alias("_b")))
-        pairs = spread(pairs).join(left, "a").select("_a", "b")
-        pairs = spread(pairs).join(right, "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        left = follows.select(F.col("node").alias("a"), F.col("root").alias("_a"))
+        right = follows.select(F.col("node").alias("b"), F.col("root").alias("_b"))
+        pairs = pairs.join(left, "a").select("_a", "b")
+        pairs = pairs.join(right, "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
         pairs = cut(pairs.distinct())
     return found if found is not None else pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))

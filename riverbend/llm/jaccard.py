@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Spans, mix, sliced
-from .common import cut, shuffle_parts, small_batches, spread
+from .common import cut, lean, shuffle_parts, small_batches, spread
 from .graph import components
 
 K = 4
@@ -48,7 +48,7 @@ NUM, DEN = 85, 100
 BLOCK = 96
 LEADERS = 8
 #: Shingles in a bucket.
-BUCKET = 3_000_000
+BUCKET = 1_500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,7 +112,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 # ---------------------------------------------------------------- document frequencies
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], k: int, most: int = 1_500_000) -> Iterator[tuple[np.ndarray, ...]]:
+def _gathered(batches: Iterator[pa.RecordBatch], k: int, most: int = 800_000) -> Iterator[tuple[np.ndarray, ...]]:
     """Sets not yet seen by this task, about so many shingles at a time: their nodes and sizes, and for each shingle its owner among them."""
     seen: set[int] = set()
     parts: list[tuple[np.ndarray, ...]] = []
@@ -355,7 +355,7 @@ def _join_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
     """rows: block string, node, size, grams, side, label."""
     parts = shuffle_parts(rows.sparkSession)
     dealt = rows.select("block", "node", "size", "grams", "side", "label").repartition(parts, "block").sortWithinPartitions("block", "node")
-    return dealt.mapInArrow(lambda it: _join(it, num, den), LINK)
+    return dealt.mapInArrow(lean(lambda it: _join(it, num, den)), LINK)
 
 
 # ---------------------------------------------------------------- the operator
@@ -366,24 +366,24 @@ def alive_sets(docs: DataFrame, total: int, k: int = K, num: int = NUM, den: int
     spark = docs.sparkSession
     buckets = max(shuffle_parts(spark), -(-total // BUCKET))
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    dealt = texts.mapInArrow(lambda it: _deal(it, k, buckets), DEALT).repartitionById(buckets, F.col("bucket"))
-    shared = dealt.mapInArrow(lambda it: _count(it, buckets), SHARED).repartitionById(buckets, F.col("place"))
-    return shared.mapInArrow(lambda it: _alive(it, num, den), ALIVE)
+    dealt = texts.mapInArrow(lean(lambda it: _deal(it, k, buckets)), DEALT).repartitionById(buckets, F.col("bucket"))
+    shared = dealt.mapInArrow(lean(lambda it: _count(it, buckets)), SHARED).repartitionById(buckets, F.col("place"))
+    return shared.mapInArrow(lean(lambda it: _alive(it, num, den)), ALIVE)
 
 
 def links(alive: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(a, b): links between sets that connect exactly what all links of the join connect. alive must be stored."""
-    posts = cut(alive.mapInArrow(lambda it: _postings(it, num, den), "gram long, node long"))
+    posts = cut(alive.mapInArrow(lean(lambda it: _postings(it, num, den)), "gram long, node long"))
     lead = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n")))
     lists = posts.groupBy("gram").agg(lead.getField("n").alias("lead"), F.count("*").alias("_n")).where("_n > 1").select("gram", "lead")
     meets = posts.join(spread(lists), "gram").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     group = components(meets)
 
     sized = group.groupBy("root").agg(F.count("*").alias("_n"))
-    placed = spread(group).join(spread(sized), "root").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("long"))
+    placed = group.join(spread(sized), "root").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("long"))
     at = F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.col("_blocks"))
     placed = cut(placed.select("node", "root", "_blocks", at.alias("_at")))
-    sets = alive.join(spread(placed), "node")
+    sets = alive.join(placed, "node")
 
     name = lambda *c: F.concat_ws("/", *[x.cast("string") for x in c])
     own = sets.select(name(F.col("root"), F.col("_at")).alias("block"), "node", "size", "grams", F.lit(0).alias("side"), F.col("node").alias("label"))
@@ -402,28 +402,28 @@ def links(alive: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     # what large groups have left: their sets in components so far
     so_far = components(near)
     label = so_far.select("node", F.col("root").alias("_label"))
-    members = spread(large).join(spread(label), "node", "left").select("node", "root", F.coalesce("_label", "node").alias("label"))
+    members = large.join(label, "node", "left").select("node", "root", F.coalesce("_label", "node").alias("label"))
     members = cut(members)
     parts = cut(members.groupBy("root", "label").agg(F.count("*").alias("_m")))
     split = parts.groupBy("root").agg(F.count("*").alias("_labels"), F.sum(F.when(F.col("_m") < BLOCK, F.col("_m")).otherwise(0)).alias("_few")).where("_labels > 1")
-    parts = cut(spread(parts).join(spread(split), "root"))
+    parts = cut(parts.join(spread(split), "root"))
     # a component of many sets has blocks of its own; those of few sets share blocks
     many = F.col("_m") >= BLOCK
     count = F.ceil(F.when(many, F.col("_m")).otherwise(F.col("_few")) / BLOCK).cast("long")
     parts = parts.select("root", "label", F.when(many, F.col("label").cast("string")).otherwise(F.lit("few")).alias("_kind"), count.alias("_count"))
-    members = spread(members).join(spread(parts), ["root", "label"])
+    members = members.join(parts, ["root", "label"])
     own_blocks = F.when(F.col("_kind") == "few", F.xxhash64("label", F.lit(3))).otherwise(F.xxhash64("node", F.lit(3)))
     members = cut(members.select("node", "root", "label", "_kind", F.pmod(own_blocks, F.col("_count")).alias("_b")))
     blocks = cut(members.groupBy("root", "_kind", "_b").agg(F.count("*").alias("_n")))
     x = blocks.select("root", F.col("_kind").alias("k1"), F.col("_b").alias("b1"))
-    y = spread(blocks.select("root", F.col("_kind").alias("k2"), F.col("_b").alias("b2")))
+    y = blocks.select("root", F.col("_kind").alias("k2"), F.col("_b").alias("b2"))
     order = F.struct("k1", "b1") <= F.struct("k2", "b2")
-    pairs = spread(x).join(y, "root").where(order & ((F.col("k1") != F.col("k2")) | (F.col("k1") == "few")))
+    pairs = x.join(y, "root").where(order & ((F.col("k1") != F.col("k2")) | (F.col("k1") == "few")))
     pairs = pairs.withColumn("_pair", name(F.col("root"), F.col("k1"), F.col("b1"), F.col("k2"), F.col("b2")))
     one = pairs.select("root", "_pair", F.col("k1").alias("_kind"), F.col("b1").alias("_b"), F.when((F.col("k1") == F.col("k2")) & (F.col("b1") == F.col("b2")), 0).otherwise(1).alias("side"))
     two = pairs.where("k1 <> k2 OR b1 <> b2").select("root", "_pair", F.col("k2").alias("_kind"), F.col("b2").alias("_b"), F.lit(2).alias("side"))
-    rows = spread(members).join(spread(one.union(two)), ["root", "_kind", "_b"])
-    rows = spread(rows.select("node", "label", "side", F.col("_pair").alias("block"))).join(alive, "node")
+    rows = members.join(one.union(two), ["root", "_kind", "_b"])
+    rows = rows.select("node", "label", "side", F.col("_pair").alias("block")).join(alive, "node")
     return near.union(_join_blocks(rows, num, den))
 
 
@@ -431,17 +431,17 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) ->
     """(doc_id, n_shingles, component_id), one row per row of docs."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = cut(rows.mapInArrow(lambda it: _sets(it, k), SET))
+    sets = cut(rows.mapInArrow(lean(lambda it: _sets(it, k)), SET))
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     alive = cut(alive_sets(docs, total, k, num, den))
     found = cut(components(links(alive, num, den)))
 
     full = sets.where("n_shingles > 0")
     named = full.groupBy("node", "check").agg(F.min("doc_id").alias("_first"))
-    named = cut(spread(named).join(spread(found), "node", "left"))
+    named = cut(named.join(found, "node", "left"))
     linked = named.where("root IS NOT NULL").groupBy("root").agg(F.min("_first").alias("_least"))
-    named = spread(named).join(spread(linked), "root", "left").select("node", "check", F.coalesce("_least", "_first").alias("_name"))
-    out = spread(sets).join(spread(named), ["node", "check"], "left")
+    named = named.join(spread(linked), "root", "left").select("node", "check", F.coalesce("_least", "_first").alias("_name"))
+    out = sets.join(named, ["node", "check"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("_name", "doc_id").alias("component_id"))
 
 
@@ -449,4 +449,4 @@ def keep_one(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> Dat
     """docs with one document of each component: that whose doc_id names it."""
     groups = near_groups(docs, k, num, den)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import mix
-from .common import cut, shuffle_parts, spread
+from .common import cut, lean, shuffle_parts, spread
 from .e8 import around, nearest
 from .graph import components
 
@@ -224,24 +224,24 @@ def found_links(vectors: DataFrame, threshold: float = THRESHOLD, tables: int =
     tasks = F.when(F.col("_home") + F.col("_visit") <= BLOCK, whole).otherwise(several)
     rows = met.select("node", "cell", "role", "part", F.explode(tasks).alias("_t")).select("node", "cell", "role", "part", "_t.mode", "_t.task")
     dealt = rows.join(vectors, "node").repartition(shuffle_parts(vectors.sparkSession), "task").sortWithinPartitions("task")
-    return dealt.mapInArrow(lambda it: _compare(it, threshold, tables), FOUND)
+    return dealt.mapInArrow(lean(lambda it: _compare(it, threshold, tables)), FOUND)
 
 
 def near_vectors(table: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES, width: float = WIDTH) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of table."""
     source = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    named = cut(source.mapInArrow(_name, NAMED))
+    named = cut(source.mapInArrow(lean(_name), NAMED))
     rows = named.select("vec_id", "node", "check")
     alike = named.where("node IS NOT NULL").groupBy("node", "check").agg(F.count("*").alias("copies"), F.min("vec_id").alias("_first"), F.first("unit").alias("unit"))
     alike = cut(alike)
-    vectors = cut(alike.select("node", "copies", "unit").mapInArrow(lambda it: _code(it, tables, probes, width), CODED))
+    vectors = cut(alike.select("node", "copies", "unit").mapInArrow(lean(lambda it: _code(it, tables, probes, width)), CODED))
     found = cut(found_links(vectors, threshold, tables))
     links = found.groupBy("a").agg(F.sum("links").alias("_links")).select(F.col("a").alias("node"), "_links")
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
-    known = spread(alike.drop("unit")).join(spread(links), "node", "left").join(spread(roots), "node", "left")
+    known = alike.drop("unit").join(links, "node", "left").join(roots, "node", "left")
     known = cut(known.select("node", "check", "copies", "_first", "root", F.coalesce("_links", F.lit(0)).alias("_links")))
     least = known.where("root IS NOT NULL").groupBy("root").agg(F.min("_first").alias("_least"))
-    known = spread(known).join(spread(least), "root", "left").select("node", "check", (F.col("copies") - 1 + F.col("_links")).alias("_n"), F.coalesce("_least", "_first").alias("_name"))
-    out = spread(rows).join(spread(known), ["node", "check"], "left")
+    known = known.join(spread(least), "root", "left").select("node", "check", (F.col("copies") - 1 + F.col("_links")).alias("_n"), F.coalesce("_least", "_first").alias("_name"))
+    out = rows.join(known, ["node", "check"], "left")
     name = F.coalesce("_name", "vec_id")
     return out.select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"), name.alias("component_id"), F.col("vec_id").eqNullSafe(name).alias("kept"))

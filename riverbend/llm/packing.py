@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 CAPACITY = 1024
 END_ID = 0
@@ -176,4 +176,4 @@ def pack(docs: DataFrame, tokenizer: tuple[str, str | None] | None = None, capac
     small_batches(docs.sparkSession)
     paths = tokenizer or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _work(it, paths, capacity), OUT)
+    return rows.mapInArrow(lean(lambda it: _work(it, paths, capacity)), OUT)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import buffers, sliced
-from .common import cut, new_folder, shuffle_parts, small_batches
+from .common import cut, lean, new_folder, shuffle_parts, small_batches
 
 ORDER, BITS = 4, 6
 SIZE = 1 << (ORDER * BITS)
@@ -96,7 +96,7 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 def train(texts: DataFrame, folder: str) -> str:
     """Count the column text of all rows and store the model in folder: order 4 in sorted shards, lower orders beside it."""
-    raw = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_tally, "g long, c long")
+    raw = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(_tally), "g long, c long")
     counts = cut(raw.groupBy("g").agg(F.sum("c").alias("c")))
     by_order = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols come before
@@ -169,7 +169,7 @@ def _score(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 def score(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, lang, bytes, nats): mean negative log probability of a byte, null for empty texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _score(it, folder), SCORED)
+    return rows.mapInArrow(lean(lambda it: _score(it, folder)), SCORED)
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:

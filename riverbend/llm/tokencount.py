@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 from .packing import Encoder, default_tokenizer
 
 RULES = ("first", "last", "most")
@@ -106,4 +106,4 @@ def count(docs: DataFrame, rule: str = "first", tokenizer: tuple[str, str | None
     small_batches(docs.sparkSession)
     paths = tokenizer or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _work(it, paths, rule), OUT)
+    return rows.mapInArrow(lean(lambda it: _work(it, paths, rule)), OUT)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Spans, mix, sliced
-from .common import cut, small_batches
+from .common import cut, lean, small_batches
 
 MAX_TOXIC, MAX_CLEAN = 600, 1_200
 MAX_FEATURES = 20_000
@@ -305,14 +305,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     # at most max_toxic + max_clean rows, trained on in one task
     rows = texts.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_toxic")
-    held = rows.repartition(1).mapInArrow(_fit, "model binary").first()
+    held = rows.repartition(1).mapInArrow(lean(_fit), "model binary").first()
     return Model(*pickle.loads(held[0])) if held else train([], [])
 
 
 def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     """(doc_id, score, spans), one row per row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _score(it, model, spans), SCORED)
+    return rows.mapInArrow(lean(lambda it: _score(it, model, spans)), SCORED)
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -330,4 +330,4 @@ def _keep(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) ->
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score threshold or more."""
     model = fit(docs, labels)
-    return docs.mapInArrow(lambda it: _keep(it, model, threshold), docs.schema)
+    return docs.mapInArrow(lean(lambda it: _keep(it, model, threshold)), docs.schema)

@@ -31,6 +31,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DEFAULT = "allow"
@@ -145,4 +147,4 @@ def annotate(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, de
     url = F.col("url").cast("string")
     rows = pages.select(*[F.col(f"`{c}`") for c in columns], host_of(url).alias("_host"), path_of(url).alias("_path"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("_host", "_path"))
-    return rows.mapInArrow(lambda it: _judge(it, prefix, default), f"{kinds}, host string, path string, rule string, verdict string")
+    return rows.mapInArrow(lean(lambda it: _judge(it, prefix, default)), f"{kinds}, host string, path string, rule string, verdict string")

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, shuffle_parts, small_batches, spread
+from .common import cut, lean, new_folder, shuffle_parts, small_batches, spread
 
 MIN_PAYLOAD = 100
 ARCHIVE_BYTES = 64 << 20
@@ -237,13 +237,13 @@ def write(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD, archive
     equal = spread(equal)
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to")
     joined = rows.join(equal, "digest", "left").select("page_id", "url", "html", refers, "digest")
-    return cut(joined.mapInArrow(lambda it: _write(it, folder, archive_bytes), MANIFEST))
+    return cut(joined.mapInArrow(lean(lambda it: _write(it, folder, archive_bytes)), MANIFEST))
 
 
 def read(manifest: DataFrame) -> DataFrame:
     """One row per record of the archives that the manifest names, in columns RECORD."""
     parts = shuffle_parts(manifest.sparkSession)
-    return manifest.select("archive", "records").repartition(parts).mapInArrow(_read, RECORD)
+    return manifest.select("archive", "records").repartition(parts).mapInArrow(lean(_read), RECORD)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
