@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, cut, shuffle_parts, text_of
+from .common import WS, cut, lean, shuffle_parts, text_of
 
 SLOTS = 4
 MAX_KICKS = 200
 MASK = (1 << 64) - 1
 #: Entries a task keeps before it hands them on.
 FLUSH = 200_000
+#: Rows for which there is a shard of the index at least.
+SHARD = 500_000
 
 
 class CuckooIndex:
@@ -174,8 +176,9 @@ def digested(docs: DataFrame) -> DataFrame:
 def survivors(rows: DataFrame) -> DataFrame:
     """From (doc_id, chars, digest) to one row per digest: digest, chars, keep_id, copies."""
     entries = rows.select("digest", "chars", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("copies"))
-    local = entries.mapInArrow(lambda it: _merge(it, FLUSH), OUT)
-    return local.repartition(shuffle_parts(rows.sparkSession), "digest").mapInArrow(lambda it: _merge(it, None), OUT)
+    local = entries.mapInArrow(lean(lambda it: _merge(it, FLUSH)), OUT)
+    shards = max(shuffle_parts(rows.sparkSession), -(-rows.count() // SHARD))
+    return local.repartition(shards, "digest").mapInArrow(lean(lambda it: _merge(it, None)), OUT)
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -21,16 +21,19 @@ by sample() and ignored by plan().
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, digits_for, text_of
+from .common import WORD, cut, text_of
 
 UNIT = 1 << 24
 #: Above this many sources, their targets are joined by a shuffle.
 BROADCAST_SOURCES = 2_000
+#: Above this many pairs of source and size class, the digits that part them are joined by a shuffle.
+BROADCAST_CLASSES = 100_000
 PER_GROUP = 20_000
 
 
@@ -80,23 +83,28 @@ def _keyed(docs: DataFrame, payload: Column) -> DataFrame:
 
 def _with_copies(rows: DataFrame, narrow: DataFrame, weights: Sequence[float], cap: float, seed: str) -> DataFrame:
     """rows with source_size, target and copies; narrow has the same rows without payload."""
-    sources = cut(narrow.groupBy("_src").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")))
-    n_rows, n_sources = sources.agg(F.sum("_rows"), F.count("*")).first()
+    digits = F.when(F.col("_n") > PER_GROUP, F.ceil(F.log(F.col("_n") / PER_GROUP) / math.log(16))).otherwise(0).cast("int")
+    classes = narrow.groupBy("_src", "_class").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
+    classes = cut(classes.withColumn("_digits", digits))
+    sources = cut(classes.groupBy("_src").agg(F.sum("_size").alias("source_size"), F.sum("_n").alias("_rows")))
+    n_sources, n_classes = sources.count(), classes.count()
     goal = targets(sources, weights, cap)
     unit = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_src"))), 1, 6), 16, 10).cast("long")
     goal = goal.withColumn("_unit", unit).withColumn("_offset", offset)
     goal = F.broadcast(goal) if n_sources <= BROADCAST_SOURCES else goal
 
-    digits = digits_for(n_rows or 0, PER_GROUP)
+    # a class of many documents is parted by as many hash digits as bring its parts down to about PER_GROUP
+    split = classes.select("_src", "_class", "_digits")
+    split = F.broadcast(split) if n_classes <= BROADCAST_CLASSES else split
     keys = ["_src", "_class", "_sub"]
-    sub = F.substring("_h", 1, digits)
-    groups = narrow.withColumn("_sub", sub).groupBy(keys).agg(F.count("*").alias("_n")).join(goal.select("_src", "_unit"), "_src")
+    parted = lambda df: df.join(split, ["_src", "_class"]).withColumn("_sub", F.expr("substring(_h, 1, _digits)")).drop("_digits")
+    groups = parted(narrow).groupBy(keys).agg(F.count("*").alias("_n")).join(goal.select("_src", "_unit"), "_src")
     ahead = Window.partitionBy("_src").orderBy("_class", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select(*keys, F.coalesce(F.sum(F.col("_n") * F.col("_unit")).over(ahead), F.lit(0)).alias("_start"))
     within = Window.partitionBy(keys).orderBy("size", "_h", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("_offset") + F.col("_start") + F.sum("_unit").over(within)
-    joined = rows.withColumn("_sub", sub).join(goal, "_src").join(groups, keys)
+    joined = parted(rows).join(goal, "_src").join(groups, keys)
     return joined.withColumn("copies", (F.shiftright(upto, 24) - F.shiftright(upto - F.col("_unit"), 24)).cast("long"))
 
 
