@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.store import stored
 from ..operators import edeval, explain, report
 from . import fixtures as fx
 from .fixtures import FEATURES, sql
@@ -28,7 +29,7 @@ def query(oracle: str | None = None):
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One instance per trace: its labelled records."""
     lab = fx.labelled(fx.hourly(spark, sf_dir))
-    return lab.select(F.col("trace").alias("instance"), "idx", (F.col("label") > 0).cast("int").alias("y"), *FEATURES)
+    return stored(lab.select(F.col("trace").alias("instance"), "idx", (F.col("label") > 0).cast("int").alias("y"), *FEATURES))
 
 
 LONG = "lg AS (" + " UNION ALL ".join(f"SELECT trace AS instance, idx, CAST(label > 0 AS INTEGER) AS y, {i} AS ft, {c} AS value FROM lab" for i, c in enumerate(FEATURES)) + ")"
@@ -154,8 +155,9 @@ def itemset_risk(spark, sf_dir):
 
 @query(sql(*LAB, LONG, HIST, _SETS, body="SELECT instance, items, round(ratio, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY ratio DESC, support DESC, size DESC, items) AS k FROM st) WHERE k = 1"))
 def macrobase_explain(spark, sf_dir):
-    found = explain.macrobase(_wide(spark, sf_dir), FEATURES, support=0.2)
-    edges = found.join(explain.items(explain.sample(_wide(spark, sf_dir), FEATURES, "instance"), explain.class_counts(_wide(spark, sf_dir))).select("instance", "ft", "lo", "hi", "bin"), ["instance", "ft", "lo", "hi"])
+    wide = _wide(spark, sf_dir)
+    found = explain.macrobase(wide, FEATURES, support=0.2)
+    edges = found.join(explain.items(explain.sample(wide, FEATURES, "instance"), explain.class_counts(wide)).select("instance", "ft", "lo", "hi", "bin"), ["instance", "ft", "lo", "hi"])
     return edges.groupBy("instance").agg(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws("_", "ft", "bin")))).alias("items"), F.round(F.max("ratio"), 6).alias("ratio"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.store import stored
 from ..operators import clean, edeval, evaluate, models, report, resample, scale, threshold
 from ..sources import io
 from . import fixtures as fx
@@ -87,6 +88,6 @@ def chain_of_steps(spark, sf_dir):
     h = fx.hourly(spark, sf_dir)
     raw = h.select("trace", F.col("trace").alias("trace_type"), F.timestamp_seconds("sec").alias("ts"), *FEATURES)
     s = lifecycle.Settings(raw_period=fx.HOUR, period=2 * fx.HOUR)
-    data = lifecycle.datasets(raw, fx.ground_truth(h), FEATURES, fx.TRAIN, s)
-    scored = lifecycle.scores(data, FEATURES, s, models.LinearForecaster(FEATURES, 2))
-    return evaluate.named(lifecycle.evaluation(lifecycle.detections(data, scored, s), s).withColumn("granularity", F.lit("global"))).select("granularity", "column", *six("value"))
+    data = stored(lifecycle.datasets(raw, fx.ground_truth(h), FEATURES, fx.TRAIN, s))
+    scored = stored(lifecycle.scores(data, FEATURES, s, models.LinearForecaster(FEATURES, 2)))
+    return evaluate.named(lifecycle.evaluation(stored(lifecycle.detections(data, scored, s)), s).withColumn("granularity", F.lit("global"))).select("granularity", "column", *six("value"))

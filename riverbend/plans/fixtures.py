@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import filled, numbered, one_row
+from ..functions.store import stored
 from ..operators import models, rangejoin, scale, score, threshold, windows
 from ..operators.resample import seconds
 
@@ -91,7 +92,7 @@ s AS (SELECT trace, idx, sqrt({" + ".join(f"pow(d_{c}, 2)" for c in FEATURES)})
 
 def predicted(h: DataFrame, s: DataFrame | None = None) -> DataFrame:
     """P: S with pred, by the STD threshold of the undisturbed traces."""
-    s = scored(h) if s is None else s
+    s = stored(scored(h)) if s is None else s
     return threshold.detect(s, threshold.threshold(s.where(F.col("trace").isin(*TRAIN)), "std", 2.0))
 
 

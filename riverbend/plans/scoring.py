@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.store import stored
 from ..operators import clean, evaluate, models, rangejoin, ranges, scale, score, threshold, windows
 from ..operators.report import score_distribution as distribution
 from . import fixtures as fx
@@ -30,7 +31,7 @@ def query(oracle: str | None = None):
 @query(sql(fx.H, body="SELECT round(sum(e2) / (count(*) * 2), 6) AS mse, round(sum(ea) / (count(*) * 2), 6) AS mae FROM (SELECT pow(f_sum - a, 2) + pow(f_cnt - b, 2) AS e2, abs(f_sum - a) + abs(f_cnt - b) AS ea FROM (SELECT *, lag(f_sum) OVER w AS a, lag(f_cnt) OVER w AS b FROM h WINDOW w AS (PARTITION BY trace ORDER BY idx)) WHERE a IS NOT NULL)"))
 def naive_forecast_eval(spark, sf_dir):
     names = ["f_sum", "f_cnt"]
-    h = fx.hourly(spark, sf_dir)
+    h = stored(fx.hourly(spark, sf_dir))
     return models.errors(models.NaiveForecaster(names).fit(h).predict(h), names).select(*six("mse", "mae"))
 
 
@@ -121,7 +122,7 @@ def _grid_sql() -> str:
 
 @query(_grid_sql())
 def threshold_grid(spark, sf_dir):
-    s = fx.scored(fx.hourly(spark, sf_dir)).where(F.col("trace").isin(*fx.TRAIN))
+    s = stored(fx.scored(stored(fx.hourly(spark, sf_dir))).where(F.col("trace").isin(*fx.TRAIN)))
     return threshold.threshold_grid(s).withColumn("threshold", F.round(F.col("threshold") * 1000, 6))
 
 
@@ -132,7 +133,7 @@ def detector_predictions(spark, sf_dir):
 
 @query(sql(*BASE, fx.P, body="SELECT h.trace, h.idx, coalesce(pred, 0) AS pred FROM h LEFT JOIN p ON p.trace = h.trace AND p.idx = h.idx"))
 def prepend_negatives(spark, sf_dir):
-    h = fx.hourly(spark, sf_dir)
+    h = stored(fx.hourly(spark, sf_dir))
     return clean.prepend_negatives(h, fx.predicted(h))
 
 
@@ -141,8 +142,8 @@ def prepend_negatives(spark, sf_dir):
 
 def _records(spark, sf_dir) -> DataFrame:
     """Labelled records with score and pred, from the first forecast on."""
-    h = fx.hourly(spark, sf_dir)
-    return fx.predicted(h).join(fx.labelled(h).select("trace", "idx", "label"), ["trace", "idx"])
+    h = stored(fx.hourly(spark, sf_dir))
+    return stored(fx.predicted(h).join(fx.labelled(h).select("trace", "idx", "label"), ["trace", "idx"]))
 
 
 _REC = "rec AS (SELECT p.trace, p.idx, score, pred, label FROM p JOIN lab ON lab.trace = p.trace AND lab.idx = p.idx)"
@@ -196,14 +197,14 @@ _MEET = "a.r_start <= b.r_end AND b.r_start <= a.r_end"
 
 @query(sql(*FULL, body=f"SELECT a.trace, a.class, a.r_start, a.r_end, b.r_start AS o_start, b.r_end AS o_end FROM real a JOIN pr b ON a.trace = b.trace AND {_MEET}"))
 def range_overlaps(spark, sf_dir):
-    h = fx.hourly(spark, sf_dir)
+    h = stored(fx.hourly(spark, sf_dir))
     real, pred = fx.truth(fx.labelled(h)), evaluate.predicted_ranges(fx.predicted(h))
     return rangejoin.overlapping(real, ranges.as_others(pred)).select("trace", "class", "r_start", "r_end", "o_start", "o_end")
 
 
 @query(sql(*FULL, body=f"SELECT a.trace, a.class, a.r_start, CASE WHEN EXISTS (SELECT 1 FROM pr b WHERE b.trace = a.trace AND {_MEET}) THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM real a"))
 def range_existence(spark, sf_dir):
-    h = fx.hourly(spark, sf_dir)
+    h = stored(fx.hourly(spark, sf_dir))
     out = ranges.range_recalls(fx.truth(fx.labelled(h)), evaluate.predicted_ranges(fx.predicted(h)), ranges.LEVELS["ad1"])
     return out.select("trace", "class", "r_start", "reward")
 
@@ -236,8 +237,8 @@ ra AS (SELECT * FROM rr UNION ALL SELECT 'avg', avg(recall) FROM rr WHERE cls <>
 
 def _range_query(p: dict):
     def f(spark, sf_dir):
-        h = fx.hourly(spark, sf_dir)
-        out = evaluate.range_metrics(fx.truth(fx.labelled(h)), evaluate.predicted_ranges(fx.predicted(h)), p)
+        h = stored(fx.hourly(spark, sf_dir))
+        out = evaluate.range_metrics(stored(fx.truth(fx.labelled(h))), stored(evaluate.predicted_ranges(fx.predicted(h))), p)
         return out.select("cls", *six("precision", "recall", "f"))
 
     return f
@@ -303,9 +304,9 @@ o2 AS (SELECT * FROM o1 UNION ALL SELECT 'app_avg', cls, avg(precision), avg(rec
     )
 )
 def granularity_rollup(spark, sf_dir):
-    h = fx.hourly(spark, sf_dir)
+    h = stored(fx.hourly(spark, sf_dir))
     app = F.when(F.col("trace").isin(*fx.TRAIN), "use").otherwise("other").alias("app")
-    real, pred = fx.truth(fx.labelled(h)).select("*", app), evaluate.predicted_ranges(fx.predicted(h)).select("*", app)
+    real, pred = stored(fx.truth(fx.labelled(h)).select("*", app)), stored(evaluate.predicted_ranges(fx.predicted(h)).select("*", app))
     return evaluate.rolled_up(real, pred, ranges.LEVELS["ad2"]).select("granularity", "cls", *six("precision", "recall", "f"))
 
 

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from riverbend.plans import catalog
@@ -20,7 +21,7 @@ def duck(sf_dir):
 def rows(frame):
     """Rows in an order that exact columns decide before rounded numbers do."""
     frame = frame[sorted(frame.columns)].astype(object)
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v)
+    plain = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v)
     out = [tuple(plain(v) for v in r) for r in frame.itertuples(index=False)]
     key = lambda r: [("", "") if v is None else ("n", f"{v:020.4f}") if isinstance(v, float) else ("s", v) for v in r]
     exact = lambda r: [k for k, v in zip(key(r), r, strict=True) if not isinstance(v, float) or np.isfinite(v) and v == int(v)]
