@@ -5,13 +5,14 @@ source in a fixed order, one random offset per source is added, and a document i
 integer boundary that its own interval crosses. Sums are of integers (units of 2**-24 copies), so they
 are exact, independent of how rows are dealt out, and reruns agree.
 
-Documents are taken in order of size, then of the MD5 of doc_id: neighbours then have about the same size,
-so whichever of them is taken, the words come near the target.
+Documents are taken in order of size class, first digit of the MD5 of doc_id, size, MD5 and doc_id: neighbours then
+have about the same size, so whichever of them is taken, the words come near the target.
 
 Scale: one narrow table of sizes is computed once. The prefix sum has two levels: groups of
-(source, size class, leading MD5 digits) are summed with map-side aggregation, a window over these few
+(source, size class, and in large classes MD5 digits and size) are summed with map-side aggregation, a window over these few
 groups gives each its start, and a window within each group, which holds a bounded share of any hot
-source, gives each document's own start. Nothing but one row per source is joined by broadcast, and only
+source, gives each document's own start. Groups are by prefixes of the one order of documents, so how finely
+they are parted never changes a result. Nothing but one row per source is joined by broadcast, and only
 after its size was checked.
 
 Defined results: null text has no words (size 0); null source is a source of its own, the last; repeated
@@ -97,12 +98,13 @@ def _with_copies(rows: DataFrame, narrow: DataFrame, weights: Sequence[float], c
     # a class of many documents is parted by as many hash digits as bring its parts down to about PER_GROUP
     split = classes.select("_src", "_class", "_digits")
     split = F.broadcast(split) if n_classes <= BROADCAST_CLASSES else split
-    keys = ["_src", "_class", "_sub"]
-    parted = lambda df: df.join(split, ["_src", "_class"]).withColumn("_sub", F.expr("substring(_h, 1, _digits)")).drop("_digits")
+    keys = ["_src", "_class", "_sub", "_part", "_more"]
+    parts = {"_sub": "substring(_h, 1, least(_digits, 1))", "_part": "if(_digits > 1, size, -1)", "_more": "substring(_h, 1, if(_digits > 1, _digits, 0))"}
+    parted = lambda df: df.join(split, ["_src", "_class"]).withColumns({k: F.expr(x) for k, x in parts.items()}).drop("_digits")
     groups = parted(narrow).groupBy(keys).agg(F.count("*").alias("_n")).join(goal.select("_src", "_unit"), "_src")
-    ahead = Window.partitionBy("_src").orderBy("_class", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("_src").orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.select(*keys, F.coalesce(F.sum(F.col("_n") * F.col("_unit")).over(ahead), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(keys).orderBy("size", "_h", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(keys).orderBy(F.substring("_h", 1, 1), "size", "_h", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("_offset") + F.col("_start") + F.sum("_unit").over(within)
     joined = parted(rows).join(goal, "_src").join(groups, keys)
     return joined.withColumn("copies", (F.shiftright(upto, 24) - F.shiftright(upto - F.col("_unit"), 24)).cast("long"))

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import brute
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riverbend.llm import bytewords, dedup, jaccard, mixing, packing, quality, tokencount, toxicity
 from riverbend.llm.queries import QUERIES
+from riverbend.llm.sql import ORACLE
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -130,6 +132,17 @@ def test_mixing_odd_rows(spark, odd):
     assert mixing.plan(empty(spark)).count() == 0 and mixing.sample(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("per_group", [2, 60, 20_000])
+def test_mixing_gives_what_its_sql_gives(spark, monkeypatch, per_group):
+    """Classes of many sizes, as on sf0.1, and groups parted at every level."""
+    monkeypatch.setattr(mixing, "PER_GROUP", per_group)
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.1/documents.parquet')")
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, size, source_size, taken FROM ({ORACLE['op1_mixing']})").fetchall()}
+    got = {r.doc_id: (r["size"], r.source_size, r.taken) for r in QUERIES["op1_mixing"](spark, "/root/testdata/sf0.1").collect()}
+    assert got == want
+
+
 # ---------------------------------------------------------------- packing
 
 
