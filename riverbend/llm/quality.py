@@ -1,14 +1,16 @@
 """Operator 3: quality by an interpolated modified Kneser-Ney model of trusted text.
 
-Texts are read as symbols of an alphabet of 64 classes of bytes (letters by case, digits, white space, kinds of
-punctuation, classes of bytes beyond ASCII), so an order-4 model has at most 64**4 n-grams, whatever the corpus: a
-bound of 128 MB for everything a task ever holds of it. Counts cover all trusted text: every task counts its share
-densely, and only its distinct n-grams are shuffled, to be summed in shards of the n-gram space. Continuation
-counts, count-of-counts and discounts are aggregations of that table; each order is joined with the order below it
-on the suffix and with its contexts on the prefix, shard by shard, down to the uniform distribution.
-
-The model is stored in the shared folder, sorted and sharded. A task that scores documents joins its n-grams with the
-shards by position, and gives each whole text its perplexity. The threshold of a language is a quantile of the
+The model is of words, as 64-bit hashes of their bytes (A-Z as a-z), up to three in a row, and grows with the trusted
+text: no vocabulary is fixed and all trusted text is counted. Continuation counts, discounts and the interpolation with
+the order below are aggregations and joins of tables sharded by n-gram. Below one word stands its spelling: an order-4
+model of the same kind over 64 classes of bytes, of at most 64**4 n-grams, which only rates words that are not known.
+
+The log probability of a text is a sum of weights of its known n-grams, as endings and as contexts (see train_words).
+Every slice of texts sends its distinct n-grams with their counts, packed by bucket of the hash; they meet the model's
+shards of that bucket, and what is found is summed per document. Trusted documents are judged without the n-grams that
+no other trusted document has, else each would know itself by heart.
+
+The threshold of a language is a quantile of the
 perplexities of its trusted documents, from counts of perplexities on a fixed grid of GRID nats, so no language's
 rows meet in one task; a document above it is not kept.
 
@@ -21,13 +23,14 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewords import buffers, sliced
+from .bytewords import Spans, buffers, mix, sliced
 from .common import cut, lean, new_folder, shuffle_parts, small_batches
 
 ORDER, BITS = 4, 6
@@ -37,6 +40,12 @@ GRID = 0.001
 SHARDS = 64
 #: Bytes of text taken at a time.
 STEP = 1 << 20
+#: Words of the longest n-gram, the word before a text, n-grams of the model in a bucket, and packed at a time.
+WORDS = 3
+MARK = np.uint64(0x5851F42D4C957F2D)
+PER_BUCKET = 1_000_000
+PACKED = 200_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def alphabet() -> np.ndarray:
@@ -148,28 +157,206 @@ def load(folder: str) -> np.ndarray:
     return np.log(below, out=below)
 
 
-SCORED = "doc_id long, lang string, bytes long, nats double"
-
-
-def _score(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+def _words(texts: pa.Array, table: np.ndarray) -> dict[str, np.ndarray]:
+    """For each word: its text, hashes of the n-grams that end at it (g1 to g3) and of their contexts (x1 to x3), and the log
+    probability of its spelling, up to the next word. Two marks stand before the first word. all, bytes: those of whole texts."""
+    code, _, lengths = grams(texts)
+    sums = np.zeros(len(code) + 1)
+    np.cumsum(table[code], dtype=np.float64, out=sums[1:])
+    ends = np.cumsum(lengths)
+    spans = Spans(texts)
+    doc, n = spans.doc, len(spans.doc)
+    pad = WORDS - 1
+    h = np.full(n + pad * spans.count, MARK, np.uint64)
+    place = np.arange(n) + pad * (doc + 1)
+    h[place] = spans.hash
+    out = {"doc": doc, "all": sums[ends] - sums[ends - lengths], "bytes": lengths}
+    before = np.zeros(len(h), np.uint64)
+    for k in range(1, WORDS + 1):
+        own = mix(before * _STEP + h + np.uint64(k))
+        out[f"g{k}"], out[f"x{k}"] = own[place].view(np.int64), before[place].view(np.int64)
+        before = np.concatenate([np.zeros(1, np.uint64), own[:-1]])
+    same = np.zeros(n, bool)
+    same[1:] = doc[1:] == doc[:-1]
+    begins = np.where(same, spans.start, (ends - lengths)[doc])
+    stops = np.where(np.append(same[1:], False), np.append(spans.start[1:], 0), ends[doc])
+    out["spell"] = sums[stops] - sums[begins]
+    return out
+
+
+TALLY = "g long, x long, s long, x1 long, s1 long, spell double, c long, lo long, hi long"
+
+
+def _tally_words(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     table = None
-    for batch in sliced(batches, most=STEP):
-        if table is None:
-            table = load(folder)
-        code, _, lengths = grams(batch.column("text"))
-        sums = np.zeros(len(code) + 1)
-        np.cumsum(table[code], dtype=np.float64, out=sums[1:])
-        ends = np.cumsum(lengths)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            nats = -(sums[ends] - sums[ends - lengths]) / lengths
-        nats = pa.array(np.where(lengths > 0, nats, 0.0), mask=lengths == 0)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(lengths), nats], names=["doc_id", "lang", "bytes", "nats"])
-
-
-def score(docs: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, lang, bytes, nats): mean negative log probability of a byte, null for empty texts."""
+    for batch in sliced(batches):
+        table = load(folder) if table is None else table
+        w = _words(batch.column("text"), table)
+        key = batch.column("_key").to_numpy()[w["doc"]]
+        g, first, at, c = np.unique(w["g3"], return_index=True, return_inverse=True, return_counts=True)
+        lo, hi = np.full(len(g), np.iinfo(np.int64).max), np.full(len(g), np.iinfo(np.int64).min)
+        np.minimum.at(lo, at, key)
+        np.maximum.at(hi, at, key)
+        spell = np.full(len(g), -np.inf)
+        np.maximum.at(spell, at, w["spell"])
+        columns = [g, w["x3"][first], w["g2"][first], w["x2"][first], w["g1"][first], spell, c.astype(np.int64), lo, hi]
+        for i in range(0, len(g), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000]) for a in columns], names=[f.split()[0] for f in TALLY.split(", ")])
+
+
+def train_words(rows: DataFrame, folder: str) -> DataFrame:
+    """From (_key, text) of trusted rows to the weights of all their n-grams of words: (g, uni, own, ending, context).
+
+    With lower orders interpolated, the log probability of a word is a sum of weights of the n-grams that are known: context, the
+    log of the weight that an n-gram passes on as a context; ending, for one word the log probability itself and for more words
+    what knowing the n-gram adds to the orders below. own: only one document has it."""
+    counts = cut(rows.select("_key", "text").mapInArrow(lean(lambda it: _tally_words(it, folder)), TALLY).groupBy("g").agg(
+        *[F.max(c).alias(c) for c in ("x", "s", "x1", "s1", "spell")], F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    below = lambda df, x, s: df.groupBy(F.col("s").alias("g")).agg(
+        x.alias("x"), s.alias("s"), F.max("s1").alias("s1"), F.max("spell").alias("spell"), F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    two = cut(below(counts, F.max("x1"), F.max("s1")))
+    one = cut(below(two, F.lit(0).cast("long"), F.lit(0).cast("long")))
+    lower, tables, passed = None, [], []
+    for order, table in ((1, one), (2, two), (3, counts)):
+        d = _discounts(table)
+        off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        stats = table.groupBy("x").agg(F.sum("c").alias("all"), F.sum(off).alias("_off"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        stats = cut(stats.select("x", "all", (F.col("_off") / F.col("all")).alias("back"), "lo", "hi"))
+        known = table.join(F.broadcast(stats) if order == 1 else stats, "x").select("g", "s", "spell", "all", "back", "c", table["lo"], table["hi"])
+        if lower is None:
+            known, base = known.withColumn("_below", F.exp("spell")), F.col("_below")
+        else:
+            known, base = known.join(lower.select(F.col("g").alias("s"), F.col("p").alias("_below")), "s"), F.col("_below")
+        p = F.greatest(F.col("c") - off, F.lit(0.0)) / F.col("all") + F.col("back") * base
+        lower = cut(known.select("g", p.alias("p"), (F.log(p) - (F.lit(0.0) if order == 1 else F.log(F.col("back") * base))).alias("ending"), "lo", "hi"))
+        zero = F.lit(0.0)
+        tables.append(lower.select("g", F.lit(order == 1).alias("uni"), (F.col("lo") == F.col("hi")).alias("own"), "ending", zero.alias("context")))
+        if order > 1:
+            passed.append(stats.select(F.col("x").alias("g"), F.lit(False).alias("uni"), (F.col("lo") == F.col("hi")).alias("own"), zero.alias("ending"), F.log("back").alias("context")))
+    return reduce(DataFrame.unionByName, [*tables, *passed])
+
+
+SENT = "bucket int, side int, key binary, hash binary, doc binary, ending binary, context binary, spell binary"
+PARTIAL = "_key long, rows long, bytes long, every double, held double"
+
+
+def _send(batches: Iterator[pa.RecordBatch], folder: str, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of each text with their counts, packed by bucket; bucket -1 has what is known of texts without a join."""
+    table = None
+    names = [f.split()[0] for f in SENT.split(", ")]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+    for batch in sliced(batches):
+        table = load(folder) if table is None else table
+        w = _words(batch.column("text"), table)
+        key = batch.column("_key").to_numpy()
+        rows = [(-1, 1, key.tobytes(), None, None, w["bytes"].astype(np.int64).tobytes(), None, w["all"].tobytes())]
+        n = len(w["doc"])
+        h = np.concatenate([w[c] for c in ("g1", "g2", "g3", "x2", "x3")])
+        doc = np.tile(w["doc"].astype(np.int32), 5)
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        fresh = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if n else np.zeros(0, np.int64)
+        spell = np.zeros(5 * n)
+        spell[:n] = w["spell"]
+        total = lambda x: np.add.reduceat(x[order], fresh) if n else x  # noqa: E731,B023
+        ending, spell = total((np.arange(5 * n) < 3 * n).astype(np.int32)), total(spell)
+        context = total((np.arange(5 * n) >= 3 * n).astype(np.int32))
+        h, doc = h[fresh], doc[fresh]
+        to = _bucket(h, buckets)
+        by = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[by], np.arange(buckets + 1))
+        for b in range(buckets):
+            own = by[edges[b] : edges[b + 1]]
+            if len(own):
+                mine, local = np.unique(doc[own], return_inverse=True)
+                rows.append((b, 1, key[mine].tobytes(), h[own].tobytes(), local.astype(np.int32).tobytes(), ending[own].astype(np.int32).tobytes(), context[own].astype(np.int32).tobytes(), spell[own].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h.view(np.uint64) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text and bucket the sum of the weights of its known n-grams: of all, and of those that more than one document has.
+    Of each bucket the shards of the model come first."""
+    at, parts, model = None, [], None
+    names = [f.split()[0] for f in PARTIAL.split(", ")]
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["bucket"] != at:
+                at, parts, model = row["bucket"], [], None
+            if row["side"] == 0:
+                parts.append([np.frombuffer(row[c], k) for c, k in (("hash", np.int64), ("doc", np.int8), ("ending", np.float64), ("context", np.float64))])
+                continue
+            key = np.frombuffer(row["key"], np.int64)
+            n, length = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+            if at == -1:
+                every = held = np.frombuffer(row["spell"], np.float64)
+                n, length = n + 1, np.frombuffer(row["ending"], np.int64)
+            else:
+                if model is None:
+                    g, kind, ending, context = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, t) for t in (np.int64, np.int8, float, float)]
+                    order = np.argsort(g)
+                    model, parts = [g[order], kind[order], ending[order], context[order]], []
+                g, kind, ending, context = model
+                h, doc = np.frombuffer(row["hash"], np.int64), np.frombuffer(row["doc"], np.int32)
+                gain = np.zeros((2, len(h)))
+                place = np.searchsorted(g, h)
+                seen = np.flatnonzero(g[np.minimum(place, max(len(g) - 1, 0))] == h) if len(g) else np.zeros(0, np.int64)
+                place = place[seen]
+                times, passed, spell = (np.frombuffer(row[c], k)[seen] for c, k in (("ending", np.int32), ("context", np.int32), ("spell", np.float64)))
+                gain[0, seen] = times * ending[place] + passed * context[place] - np.where(kind[place] & 1, spell, 0.0)
+                gain[1, seen] = np.where(kind[place] & 2, 0.0, gain[0, seen])
+                every, held = (np.bincount(doc, x, len(key)) for x in gain)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, n, length, every, held)], names=names)
+
+
+def _pack(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in SENT.split(", ")]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+    held, size = [], 0
+
+    def out():
+        g, kind, ending, context = (np.concatenate(c) for c in zip(*held, strict=True))
+        to = _bucket(g, buckets)
+        by = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[by], np.arange(buckets + 1))
+        rows = [(b, 0, None, g[o].tobytes(), kind[o].tobytes(), ending[o].tobytes(), context[o].tobytes(), None) for b in range(buckets) if len(o := by[edges[b] : edges[b + 1]])]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append([batch.column("g").to_numpy(), batch.column("kind").to_numpy().astype(np.int8), batch.column("ending").to_numpy(), batch.column("context").to_numpy()])
+            size += batch.num_rows
+        if size >= PACKED:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
+def score(docs: DataFrame, folder: str, weights: DataFrame) -> DataFrame:
+    """(doc_id, lang, bytes, nats, held): mean negative log probability of a byte, null for empty texts; held: without what only one trusted document has."""
+    parts = shuffle_parts(docs.sparkSession)
+    # an n-gram's weights as an ending and as a context meet in one row
+    kind = (F.max(F.col("uni").cast("int")) + 2 * F.min(F.col("own").cast("int"))).alias("kind")
+    model = cut(weights.groupBy("g").agg(kind, F.sum("ending").alias("ending"), F.sum("context").alias("context")))
+    buckets = max(1, parts, -(-model.count() // PER_BUCKET))
+    rows = _rows(docs)
+    sent = rows.select("_key", "text").mapInArrow(lean(lambda it: _send(it, folder, buckets)), SENT)
+    both = model.mapInArrow(lean(lambda it: _pack(it, buckets)), SENT).unionByName(sent)
+    partial = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "side").mapInArrow(lean(_answer), PARTIAL)
+    sums = partial.groupBy("_key").agg(*[F.sum(c).alias(c) for c in ("rows", "bytes", "every", "held")])
+    # equal rows have sent their sums each
+    nats = {"bytes": (F.col("bytes") / F.col("rows")).cast("long")} | {k: F.when(F.col("bytes") > 0, -F.col(c) / F.col("bytes")) for k, c in (("nats", "every"), ("held", "held"))}
+    sums = sums.select("_key", *[c.alias(k) for k, c in nats.items()])
+    return rows.select("_key", "doc_id", "lang").join(sums, "_key").drop("_key")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lean(lambda it: _score(it, folder)), SCORED)
+    return rows.withColumn("_key", F.xxhash64("doc_id", "text"))
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -193,9 +380,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, fol
     folder = folder or new_folder(spark, "quality")
     trusted = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select("doc_id")
     # the trusted ids grow with the corpus, so this is a merge join at every size and never a broadcast
-    train(docs.join(trusted.hint("merge"), "doc_id", "left_semi"), folder)
-    scored = cut(score(docs, folder))
-    level = cut(thresholds(scored.join(trusted.hint("merge"), "doc_id", "left_semi"), quantile))
+    own_text = docs.join(trusted.hint("merge"), "doc_id", "left_semi")
+    train(own_text, folder)
+    scored = score(docs, folder, train_words(_rows(own_text), folder))
+    # a trusted document is judged without what it alone has taught the model
+    mine = trusted.select("doc_id", F.lit(True).alias("_mine")).hint("merge")
+    scored = scored.join(mine, "doc_id", "left").withColumn("nats", F.when(F.col("_mine"), F.col("held")).otherwise(F.col("nats")))
+    scored = cut(scored.drop("held"))
+    level = cut(thresholds(scored.where("_mine"), quantile))
     # at most a row per language on the grid's windows; the row for all languages stands in for those without one
     every = level.where("every").select(F.col("level").alias("_every"))
     own = level.where("NOT every").select(F.col("lang").alias("_lang"), "level")

@@ -328,6 +328,75 @@ def test_quality_parts_good_from_bad(spark):
     assert both[both.quality == 1].kept.mean() > 0.98 and both[both.quality == 0].kept.mean() < 0.4
 
 
+def plain_kneser_ney(trained, spelling):
+    """A function of (u, v, w) and the spelling of w to the probability of w; trained: lists of words, spelling: the best of each."""
+    counts = [None, {}, {}, {}]
+    for t in trained:
+        t = ["", "", *t]
+        for i in range(2, len(t)):
+            g = tuple(t[i - 2 : i + 1])
+            counts[3][g] = counts[3].get(g, 0) + 1
+    for k in (2, 1):
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    off = [None]
+    for c in counts[1:]:
+        n = [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.0
+        d = [k + 1 - (k + 2) * y * n[k + 1] / n[k] if n[k] else (k + 1) / 2 for k in range(3)]
+        off.append([min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)])
+
+    def p(g, base):
+        k = len(g)
+        if k == 0:
+            return base
+        lower = p(g[1:], spelling.get(g[-1:], base) if k == 1 else base)
+        own = {x: c for x, c in counts[k].items() if x[:-1] == g[:-1]}
+        if not own:
+            return lower
+        cut = lambda c: off[k][min(c, 3) - 1]
+        all_, c = sum(own.values()), own.get(g, 0)
+        if k == 1 and not c:  # an unknown word is rated by its spelling alone
+            return base
+        return (max(c - cut(c), 0) if c else 0) / all_ + sum(map(cut, own.values())) / all_ * lower
+
+    return p
+
+
+def test_quality_sums_weights_of_word_ngrams(spark, tmp_path):
+    rng = random.Random(5)
+    vocab = [f"{a}{b}" for a in "привет" for b in "aeiou"]
+    make = lambda n: " ".join(rng.choice(vocab[:12]) for _ in range(n))
+    trusted = [make(rng.randrange(1, 40)) for _ in range(12)]
+    asked = [make(20), trusted[3], "new " + make(5) + " words"]
+    docs = spark.createDataFrame([(i, t, "ru") for i, t in enumerate(trusted)], "doc_id long, text string, lang string").repartition(3)
+    folder = quality.train(docs, f"file://{tmp_path}/m")
+    weights = quality.train_words(quality._rows(docs), folder)
+    frame = spark.createDataFrame([(i, t, "ru") for i, t in enumerate(asked)] + [(0, asked[0], "ru")], docs.schema)
+    got = {r.doc_id: r.nats for r in quality.score(frame, folder, weights).collect()}
+    table, spelling = quality.load(folder), {}
+    for t in trusted:
+        for w, x in zip(t.split(), quality._words(pa.array([t]), table)["spell"], strict=True):
+            spelling[(w,)] = max(np.exp(x), spelling.get((w,), 0))
+    p = plain_kneser_ney([t.split() for t in trusted], spelling)
+    for i, t in enumerate(asked):
+        words, spell = ["", "", *t.split()], quality._words(pa.array([t]), table)["spell"]
+        want = -sum(np.log(p(tuple(words[j : j + 3]), np.exp(spell[j]))) for j in range(len(spell))) / len(t.encode())
+        assert got[i] == pytest.approx(want, rel=1e-6)
+
+
+def test_quality_tells_words_in_order_from_words_in_disorder(spark):
+    rng = random.Random(3)
+    phrases = [" ".join("".join(rng.choice("абвгдежзик") for _ in range(4)) for _ in range(6)) for _ in range(20)]
+    text = lambda: " ".join(rng.choice(phrases) for _ in range(8))
+    good = [text() for _ in range(60)]
+    mixed = [" ".join(rng.sample(t.split(), len(t.split()))) for t in good[40:]]
+    docs = spark.createDataFrame([(i, t, "ru") for i, t in enumerate(good + mixed)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality.classify(docs, labels).collect()}
+    assert np.mean([kept[i] for i in range(40, 60)]) > 0.7 and not any(kept[i] for i in range(60, 80))
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (8, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: (r.perplexity is None, r.kept) for r in quality.classify(odd, labels).collect()}
