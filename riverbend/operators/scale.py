@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,25 +129,51 @@ def pca(df: DataFrame, features: Sequence[str], components: float, train: Column
     return _project(df, features, mean, axes[:k], "pc"), shares
 
 
-def kernel_pca(df: DataFrame, features: Sequence[str], components: int, sample: int = 1_000, gamma: float | None = None, by: str = "idx") -> DataFrame:
-    """Projection by a Gaussian kernel on the axes of a bounded sample of `sample` records, the first in hash order of `by` and the keys."""
+def kernel_pca(df: DataFrame, features: Sequence[str], components: int, sample: int = 512, gamma: float | None = None, seed: int = 0, train: Column | None = None) -> DataFrame:
+    """Projection by a Gaussian kernel on the principal axes of all training records.
+
+    The kernel is that of `sample` random frequencies, a cosine and a sine each (error about 1 / sqrt(sample) of a kernel value).
+    Centre and axes come from one aggregation of their sums and products; records with missing values have none in it."""
     rest = [c for c in df.columns if c not in features]
-    order = F.xxhash64(*[c for c in df.columns])
-    held = np.array([list(r) for r in df.orderBy(order).limit(sample).select(*[F.col(c).cast("double") for c in features]).collect()], float)
     gamma = gamma or 1.0 / max(1, len(features))
-    k = np.exp(-gamma * ((held[:, None] - held[None]) ** 2).sum(-1))
-    row, total = k.mean(0), k.mean()
-    values, vectors = np.linalg.eigh(k - row[None] - row[:, None] + total)
-    values, vectors = values[::-1][:components], vectors[:, ::-1][:, :components]
-    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
-    axes = vectors / np.sqrt(np.maximum(values, 1e-12))
+    waves = np.random.default_rng(seed).normal(size=(len(features), sample)) * np.sqrt(2 * gamma)
+
+    def mapped(pdf):
+        x = pdf[list(features)].to_numpy(float) @ waves
+        return np.hstack([np.cos(x), np.sin(x)]) / np.sqrt(sample)
+
+    def moments(batches):
+        n, total, products = 0, np.zeros(2 * sample), np.zeros((2 * sample, 2 * sample))
+        for pdf in batches:
+            z = mapped(pdf)
+            z = z[np.isfinite(z).all(1)]
+            n, total, products = n + len(z), total + z.sum(0), products + z.T @ z
+        if n:
+            yield pd.DataFrame({"n": [n], "total": [total.tobytes()], "products": [products.tobytes()]})
+
+    def added(batches):
+        n, total, products = 0, np.zeros(2 * sample), np.zeros(4 * sample * sample)
+        for pdf in batches:
+            n += int(pdf.n.sum())
+            for a, b in zip(pdf.total, pdf.products, strict=True):
+                total, products = total + np.frombuffer(a), products + np.frombuffer(b)
+        if n:
+            yield pd.DataFrame({"n": [n], "total": [total.tobytes()], "products": [products.tobytes()]})
+
+    kind = "n long, total binary, products binary"
+    source = (df.where(train) if train is not None else df).select(*[F.col(c).cast("double").alias(c) for c in features])
+    row = source.mapInPandas(moments, kind).repartition(8).mapInPandas(added, kind).coalesce(1).mapInPandas(added, kind).first()
+    mean, axes = np.zeros(2 * sample), np.zeros((2 * sample, components))
+    if row:
+        mean = np.frombuffer(row.total) / row.n
+        values, vectors = np.linalg.eigh(np.frombuffer(row.products).reshape(2 * sample, -1) / row.n - np.outer(mean, mean))
+        axes = vectors[:, ::-1][:, :components]
+        axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
     names = [f"kpc{i}" for i in range(components)]
 
     def work(batches):
         for pdf in batches:
-            x = pdf[list(features)].to_numpy(float)
-            kx = np.exp(-gamma * ((x[:, None] - held[None]) ** 2).sum(-1))
-            z = (kx - kx.mean(1, keepdims=True) - row[None] + total) @ axes
+            z = (mapped(pdf) - mean) @ axes
             out = pdf[rest].copy()
             for i, n in enumerate(names):
                 out[n] = z[:, i]

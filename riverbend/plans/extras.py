@@ -79,7 +79,7 @@ def most_detections(spark, sf_dir):
 @query()
 def kernel_pca(spark, sf_dir):
     h = scale.scale_trace(fx.hourly(spark, sf_dir), FEATURES)
-    return scale.kernel_pca(h.drop("sec"), FEATURES, 3, sample=200)
+    return scale.kernel_pca(h.drop("sec"), FEATURES, 3)
 
 
 @query()

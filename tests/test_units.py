@@ -179,6 +179,20 @@ def test_pca_and_factors(spark):
     assert k.count() == 200 and "kpc1" in k.columns
 
 
+def test_kernel_pca_is_fitted_on_all_records(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 2)) * 0.3
+    x[:300] += 4  # a regime of its own
+    df = spark.createDataFrame([("a", i, *map(float, r)) for i, r in enumerate(x)], "trace string, idx long, f0 double, f1 double")
+    got = np.array([[r.kpc0, r.kpc1] for r in scale.kernel_pca(df, ["f0", "f1"], 2, sample=400).orderBy("idx").collect()])
+    assert got.mean(0) == pytest.approx([0, 0], abs=1e-6)
+    assert got[:, 0] @ got[:, 1] == pytest.approx(0, abs=1e-4)
+    k = np.exp(-0.5 * ((x[:, None] - x[None]) ** 2).sum(-1))
+    values, vectors = np.linalg.eigh(k - k.mean(0) - k.mean(1)[:, None] + k.mean())
+    exact = vectors[:, -1] * np.sqrt(values[-1])
+    assert abs(np.corrcoef(exact, got[:, 0])[0, 1]) > 0.99 and got[:, 0].std() == pytest.approx(exact.std(), rel=0.1)
+
+
 def test_counter_gaps(spark):
     rows = [("a", i, c, v) for i, (c, v) in enumerate([(-1, -1), (3, 30), (-1, -1), (4, 40), (-1, -1), (2, 20), (-1, -1)])]
     df = spark.createDataFrame([(a, b, float(c), float(d)) for a, b, c, d in rows], "trace string, idx long, cnt double, v double")
