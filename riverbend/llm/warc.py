@@ -6,7 +6,7 @@ task writes its own archives through a file system that both driver and executor
 no other attempt has, and reports them; only archives that a finished task reported are ever read, so lost
 executors and repeated attempts do no harm.
 
-read() goes through an archive once, with bounded memory: it inflates one gzip member at a time in small
+read() goes through an archive once, with memory for one head (a url) and a step: it inflates one gzip member at a time in small
 steps, frames the record by its Content-Length, and verifies the digests of block and payload. A record that
 does not agree with its length or digest raises.
 
@@ -115,14 +115,18 @@ class _Body:
     def __init__(self, steps: Iterator[bytes]):
         self.steps, self.held = steps, b""
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        while mark not in self.held:
+    def until(self, mark: bytes) -> bytes:
+        held = bytearray(self.held)
+        at = held.find(mark)
+        while at < 0:  # a head is as long as its url
             more = next(self.steps, b"")
-            if not more or len(self.held) > most:
+            if not more:
                 raise ValueError("a record without end of head")
-            self.held += more
-        head, self.held = self.held.split(mark, 1)
-        return head
+            seen = max(0, len(held) - len(mark) + 1)
+            held += more
+            at = held.find(mark, seen)
+        self.held = bytes(held[at + len(mark) :])
+        return bytes(held[:at])
 
     def take(self, n: int) -> Iterator[bytes]:
         while n:

@@ -56,6 +56,15 @@ def test_members_in_small_steps(payloads, step):
     assert [b"".join(s) for _, s in warc.Members(io.BytesIO(data), step)] == payloads
 
 
+def test_urls_of_several_megabytes(spark):
+    url = "http://a.net/" + "".join(map(str, np.random.default_rng(0).integers(0, 10, 3_000_000)))
+    pages = spark.createDataFrame([(1, url, BIG), (2, "http://a.net/", BIG)], PAGES)
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    assert got == [(1, len(BIG), "response", None), (2, len(BIG), "revisit", 1)]
+    data = warc.member(warc.record(1, url, b"p", None, hashlib.sha256(b"p").hexdigest()))
+    assert list(warc.read_stream(io.BytesIO(data)))[0]["url"] == url
+
+
 def test_damage_is_found():
     good = warc.record(1, "u", b"payload", None, hashlib.sha256(b"payload").hexdigest())
     assert list(warc.read_stream(io.BytesIO(warc.member(good))))[0]["payload_bytes"] == 7
