@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Spans, mix, sliced
@@ -99,14 +99,14 @@ def nodes(gram: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-SET = "doc_id long, n_shingles long, node long, check long"
+SET = "doc_id long, digest long, n_shingles long, node long, check long"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
         gram, sizes = shingles(batch.column("text"), k)
         node, check = nodes(gram, sizes)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(node), pa.array(check)], names=["doc_id", "n_shingles", "node", "check"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(sizes.astype(np.int64)), pa.array(node), pa.array(check)], names=["doc_id", "digest", "n_shingles", "node", "check"])
 
 
 # ---------------------------------------------------------------- document frequencies
@@ -427,10 +427,14 @@ def links(alive: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     return near.union(_join_blocks(rows, num, den))
 
 
-def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of docs."""
+def _digest(col: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(col).cast("string"), F.lit("")))
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n_shingles, node, check), one row per row of docs, and (node, check, _first, root) of the sets; root is null without links."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _digest().alias("digest"))
     sets = cut(rows.mapInArrow(lean(lambda it: _sets(it, k)), SET))
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     alive = cut(alive_sets(docs, total, k, num, den))
@@ -438,7 +442,12 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) ->
 
     full = sets.where("n_shingles > 0")
     named = full.groupBy("node", "check").agg(F.min("doc_id").alias("_first"))
-    named = cut(named.join(found, "node", "left"))
+    return sets, cut(named.join(found, "node", "left"))
+
+
+def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of docs."""
+    sets, named = _grouped(docs, k, num, den)
     linked = named.where("root IS NOT NULL").groupBy("root").agg(F.min("_first").alias("_least"))
     named = named.join(spread(linked), "root", "left").select("node", "check", F.coalesce("_least", "_first").alias("_name"))
     out = sets.join(named, ["node", "check"], "left")
@@ -446,7 +455,13 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) ->
 
 
 def keep_one(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
-    """docs with one document of each component: that whose doc_id names it."""
-    groups = near_groups(docs, k, num, den)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    """docs with one document of each component: that whose doc_id names it, of several texts with it that of the lowest digest.
+    Rows that agree in doc_id and text are one document; texts without words are components of their own."""
+    sets, named = _grouped(docs, k, num, den)
+    own = F.struct(F.col("doc_id").isNull().alias("_null"), F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    least = sets.where("n_shingles > 0").groupBy("node", "check").agg(F.min(own).alias("_own")).join(named, ["node", "check"])
+    alone = F.when(F.col("root").isNull(), F.col("check"))
+    stay = least.groupBy(F.coalesce("root", "node"), alone).agg(F.min("_own").alias("_own")).select("_own._id", "_own._digest")
+    blank = sets.where("n_shingles = 0").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    stay = stay.union(blank).distinct()
+    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (_digest() == stay["_digest"]), "left_semi")

@@ -311,6 +311,17 @@ def test_jaccard_odd_rows(spark, odd):
     assert jaccard.near_groups(empty(spark)).count() == 0
 
 
+def test_one_document_of_a_group_stays_with_repeated_or_no_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base, "more"])
+    other = " ".join(f"v{i}" for i in range(40))
+    texts = [(1, other), (5, " ".join(base)), (1, near), (None, "n " + other), (None, other + " z"), (None, "alone here it is"), (None, "alone here it is not"), (7, other + " x"), (None, " ")]
+    kept = jaccard.keep_one(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts], DOCS)).collect()
+    assert sorted(((r.doc_id or 0, r.text) for r in kept)) == sorted([(1, other), (1, near), (0, "alone here it is"), (0, "alone here it is not"), (0, " ")])
+    copies = spark.createDataFrame([(None, " ".join(base), "en", "a", 1), (None, near, "en", "a", 1), (2, other, "en", "a", 1), (3, "z " + other, "en", "a", 1), (3, "quite another text altogether", "en", "a", 1)], DOCS)
+    assert sorted(r.doc_id or 0 for r in jaccard.keep_one(copies).collect()) == [0, 2, 3]
+
+
 # ---------------------------------------------------------------- quality
 
 
