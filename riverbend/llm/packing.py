@@ -1,15 +1,16 @@
 """Operator 2: packing documents into training sequences by harmonic classes.
 
-A document is encoded once, ends with an end id, and is cut into whole sequences of the capacity C and, of
-what remains, one piece for each binary digit of its length. So every piece has a length C / j with j a power
-of two: its reciprocal-capacity class. A bin of class j takes exactly j pieces and is then full, whatever else
-is packed. Each task (worker) fills the bins of its own documents; no task waits for another and no row is
-shuffled. What is left in open bins when a task ends goes by falling length into common bins, which these
-lengths fill exactly, and the last of them is split at its binary digits, so that every sequence is full or
-has a power of two of tokens: there is no padding at all.
-
-Scale: bounded memory (at most j - 1 open pieces per class, one Arrow batch, and a long text encoded in
-slices cut where the tokenizer cannot join), no shuffle, and rows in proportion to the tokens.
+A document is encoded once and ends with an end id. Only one longer than the capacity C is cut, into whole sequences
+and a rest. What is shorter than C stays one item of the class j of its length, the reciprocal-capacity class
+(C / (j + 1), C / j]: a bin of class j takes exactly j items, whatever else is packed. The tail that a full count of
+items leaves in a bin is then filled with pieces cut from a filler: the rest of a long document, which is cut
+anyway, or, where too many bins wait for one, the next item. Each task (worker) fills the bins of its own documents;
+no task waits for another and no row is shuffled. When a task ends, the items of its open bins, at most j - 1 of a
+class, fill what still waits, and the last sequence is split at its binary digits, so that every sequence is full
+or has a power of two of tokens: there is no padding, and a document of less than C tokens is seldom cut.
+
+Scale: bounded memory (less than C ids a class, RESTS rests and WAITING bins, one Arrow batch, and a long text encoded in
+slices cut where the tokenizer cannot join), no shuffle, and rows in proportion to the documents and the tokens.
 
 Defined results: null text is an empty document and has only the end id; repeated rows are packed each;
 null doc_id is kept as null; extra columns are ignored; empty input gives no rows.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,8 @@ from .common import lean, small_batches
 
 CAPACITY = 1024
 END_ID = 0
+#: Rests of long documents and bins waiting for one that a worker holds.
+RESTS, WAITING = 64, 64
 #: Longer texts are encoded in slices of about so many characters.
 SLICE = 1 << 20
 #: What both encoders split alike without any doubt: printable ASCII, tab, line ends and Latin letters.
@@ -88,7 +92,7 @@ class Encoder:
 
 
 def cuts(tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole sequences, then the binary digits of the rest, largest first."""
+    """(start, length) of so many tokens as whole sequences, then the binary digits of the rest, largest first."""
     whole, rest = divmod(tokens, capacity)
     out = [(i * capacity, capacity) for i in range(whole)]
     at, bit = whole * capacity, capacity
@@ -100,49 +104,98 @@ def cuts(tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return out
 
 
+class Item:
+    """Ids of a document from start on that are not placed yet."""
+
+    __slots__ = ("doc_id", "ids", "start", "total")
+
+    def __init__(self, doc_id: int | None, ids: np.ndarray, start: int, total: int):
+        self.doc_id, self.ids, self.start, self.total = doc_id, ids, start, total
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def take(self, n: int) -> Item:
+        """The first n ids, as an item of their own; this one keeps the others."""
+        out = Item(self.doc_id, self.ids[:n], self.start, self.total)
+        self.ids, self.start = self.ids[n:], self.start + n
+        return out
+
+    def row(self, sequence: int, offset: int) -> tuple:
+        return self.doc_id, self.start, len(self.ids), zlib.crc32(self.ids.tobytes()), self.total, sequence, offset
+
+
 class Worker:
-    """The open bins of one task; place() returns rows whose sequence is complete."""
+    """The bins of one task; place() and finish() return the rows of complete sequences."""
 
     def __init__(self, number: int, capacity: int = CAPACITY):
         assert capacity & (capacity - 1) == 0, "capacity must be a power of two"
         self.capacity, self.next = capacity, number << 36
-        self.open: dict[int, list[tuple]] = {}
+        self.open: dict[int, list[Item]] = {}
+        self.rests: deque[Item] = deque()
+        self.waiting: deque[list[Item]] = deque()
 
-    def _close(self, pieces: list[tuple]) -> list[tuple]:
+    def _close(self, items: list[Item]) -> list[tuple]:
         offset, rows = 0, []
-        for p in pieces:
-            rows.append((*p, self.next, offset))
-            offset += p[2]
+        for x in items:
+            rows.append(x.row(self.next, offset))
+            offset += len(x)
         self.next += 1
         return rows
 
-    def place(self, piece: tuple) -> list[tuple]:
-        """piece: (doc_id, start, length, ids_crc32, doc_tokens)."""
-        bin_ = self.open.setdefault(piece[2], [])
-        bin_.append(piece)
-        if len(bin_) * piece[2] < self.capacity:
+    def _fill(self) -> list[tuple]:
+        """Waiting bins are filled as far as the rests go."""
+        rows = []
+        while self.waiting and self.rests:
+            bin_, filler = self.waiting[0], self.rests[0]
+            room = self.capacity - sum(map(len, bin_))
+            if len(filler) <= room:
+                bin_.append(self.rests.popleft())
+            else:
+                bin_.append(filler.take(room))
+            if len(bin_[-1]) == room:
+                rows += self._close(self.waiting.popleft())
+        return rows
+
+    def _item(self, item: Item) -> list[tuple]:
+        kind = self.capacity // len(item)
+        bin_ = self.open.setdefault(kind, [])
+        bin_.append(item)
+        if len(bin_) < kind:
             return []
-        del self.open[piece[2]]
-        return self._close(bin_)
+        del self.open[kind]
+        if sum(map(len, bin_)) == self.capacity:
+            return self._close(bin_)
+        self.waiting.append(bin_)
+        return self._fill()
+
+    def place(self, doc_id: int | None, ids: np.ndarray) -> list[tuple]:
+        rest, rows = Item(doc_id, ids, 0, len(ids)), []
+        while len(rest) >= self.capacity:
+            rows += self._close([rest.take(self.capacity)])
+        if not len(rest):
+            return rows
+        rest.ids = rest.ids.copy()  # so that the whole document need not be held
+        if rest.start and len(self.rests) < RESTS or len(self.waiting) >= WAITING:
+            self.rests.append(rest)
+            return rows + self._fill()
+        return rows + self._item(rest)
 
     def finish(self) -> list[tuple]:
-        left = [p for length in sorted(self.open, reverse=True) for p in self.open[length]]
-        self.open, rows, bin_, fill = {}, [], [], 0
-        for p in left:  # falling powers of two fill a bin exactly
-            bin_.append(p)
-            fill += p[2]
-            if fill == self.capacity:
-                rows += self._close(bin_)
-                bin_, fill = [], 0
-        part, size = [], 0
-        bits = [b for b in (1 << i for i in range(self.capacity.bit_length(), -1, -1)) if fill & b]
-        for p in bin_:
-            part.append(p)
-            size += p[2]
-            if bits and size == bits[0]:
-                rows += self._close(part)
-                part, size = [], 0
-                bits.pop(0)
+        self.rests.extend(x for kind in sorted(self.open) for x in self.open[kind])
+        self.open, rows = {}, self._fill()
+        left = deque([*(x for bin_ in self.waiting for x in bin_), *self.rests])
+        for _, length in cuts(sum(map(len, left)), self.capacity):
+            bin_, room = [], length
+            while room:
+                x = left.popleft()
+                if len(x) > room:
+                    left.appendleft(x)
+                    x = x.take(room)
+                bin_.append(x)
+                room -= len(x)
+            rows += self._close(bin_)
+        self.waiting, self.rests = deque(), deque()
         return rows
 
 
@@ -158,9 +211,7 @@ def _work(batches: Iterator[pa.RecordBatch], paths: tuple[str, str | None], capa
         for i in range(batch.num_rows):
             doc_id, text = ids[i].as_py(), texts[i].as_py() or ""
             doc = np.append(encoder.ids(text), np.uint32(END_ID)).astype("<u4")
-            raw = doc.tobytes()
-            for start, length in cuts(len(doc), capacity):
-                rows += worker.place((doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), len(doc)))
+            rows += worker.place(doc_id, doc)
             if len(rows) >= 20_000:
                 yield _rows_out(rows)
                 rows = []
