@@ -8,10 +8,11 @@ likelihood, with exact forward-backward sums. To score a text its marginals are
 model of the largest marginal and of their sum, fitted to the training documents, gives the document's score, and runs
 of tokens with a marginal of SPAN or more are its offending spans.
 
-Training uses at most MAX_TOXIC and MAX_CLEAN labelled rows, those with the lowest hashes of doc_id, and at most
-MAX_FEATURES features, so the model has a bounded size and travels with the tasks; it is trained in one task, which Spark repeats elsewhere
-if its executor is lost. Scoring is narrow and covers whole
-texts. Labels, language, source and doc_id are no inputs of a score.
+Training uses at most MAX_TOXIC and MAX_CLEAN labelled rows, those with the lowest hashes of doc_id, and every feature of
+their toxic tokens, so the model is bounded by that sample and travels with the tasks; it is trained in one task, which
+Spark repeats elsewhere if its executor is lost. In training alone the chains of long texts are cut every WINDOW
+tokens. Scoring is narrow and covers whole texts, each as one chain: features are taken in pieces of STEP bytes, and
+the sums of a long chain are joined from those of its parts. Labels, language, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts get a score like any text without toxic tokens; without labelled rows of both
 kinds every score is 0; a null doc_id is never held out and never trained on; of several labels of a document the
@@ -21,6 +22,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,15 +33,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import Spans, mix, sliced
+from .bytewords import Spans, buffers, mix, sliced
 from .common import cut, lean, small_batches
 
 MAX_TOXIC, MAX_CLEAN = 600, 1_200
-MAX_FEATURES = 20_000
 #: For features that mark tokens: least documents, least shares of toxic ones among them (the next only for
 #: documents that the one before leaves unexplained), false discovery rate.
 LEAST, SHARES, FALSE = 3, (1.0, 0.9, 0.75), 0.005
+#: Tokens of a chain in training.
 WINDOW = 200
+#: Tokens from which on a chain is swept in parts.
+LONG = 4_096
 #: Bytes of text scored at a time.
 STEP = 2 << 20
 STEPS = 50
@@ -91,6 +95,34 @@ class Model:
         return self.bias + np.bincount(tok, self.weights[at], minlength=len(feats))
 
 
+def _chain(x: np.ndarray, m00: float, m01: float, m10: float, m11: float) -> np.ndarray:
+    """r[0] = x[0], r[t] = x[t] * (m01 + m11 * r[t - 1]) / (m00 + m10 * r[t - 1]) for one long chain.
+
+    Each step is a two by two matrix; the products of parts of equal length are taken side by side, then the
+    ratios with which the parts begin one after the other, then the steps of all parts again."""
+    n, width = len(x) - 1, math.isqrt(len(x)) + 1
+    rows = -(-n // width)
+    steps = np.ones(rows * width)
+    steps[:n] = x[1:]
+    steps = steps.reshape(rows, width)
+    a, b, c, d = np.ones(rows), np.zeros(rows), np.zeros(rows), np.ones(rows)
+    for t in range(width):
+        y = steps[:, t]
+        a, b, c, d = y * (m11 * a + m01 * c), y * (m11 * b + m01 * d), m10 * a + m00 * c, m10 * b + m00 * d
+        most = np.maximum(np.maximum(a, b), np.maximum(c, d))
+        a, b, c, d = a / most, b / most, c / most, d / most
+    begin, r = np.empty(rows), float(x[0])
+    for i in range(rows):
+        begin[i] = r
+        r = float((a[i] * r + b[i]) / (c[i] * r + d[i]))
+    out = np.empty((rows, width))
+    r = begin
+    for t in range(width):
+        r = steps[:, t] * (m01 + m11 * r) / (m00 + m10 * r)
+        out[:, t] = r
+    return np.concatenate([x[:1], out.reshape(-1)[:n]])
+
+
 def sweep(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward ratios (state 1 over state 0) at each token of sequences that lie one after the other."""
     (m00, m01), (m10, m11) = np.exp(moves.reshape(2, 2))
@@ -100,6 +132,12 @@ def sweep(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple
     begin = (np.cumsum(lengths) - lengths)[order]
     n = len(x)
     forward, backward = np.empty(n), np.ones(n)
+    apart = int((long > LONG).sum())
+    for at, size in zip(begin[:apart].tolist(), long[:apart].tolist(), strict=True):
+        y = x[at : at + size]
+        forward[at : at + size] = _chain(y, m00, m01, m10, m11)
+        backward[at : at + size] = _chain(y[::-1], m00, m10, m01, m11)[::-1] / y
+    long, begin = long[apart:], begin[apart:]
     most = int(long[0]) if len(long) else 0
     live = np.searchsorted(-long, -np.arange(most), side="left")  # sequences longer than t
     r = np.ones(len(long))
@@ -211,8 +249,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Model:
     label[mark.active(feats)[0]] = 1
     label &= y[words.doc]
 
-    inside, n = np.unique(feats[label == 1].ravel(), return_counts=True)
-    inside = np.sort(inside[np.argsort(-n, kind="stable")[:MAX_FEATURES]])
+    inside = np.unique(feats[label == 1].ravel())
     model = Model(inside, np.zeros(len(inside)), -3.0, np.zeros(4), np.zeros(3))
     tok, at = model.active(feats)
     per_doc = np.bincount(words.doc, minlength=len(texts))
@@ -258,20 +295,55 @@ SCORED = "doc_id long, score double, spans array<struct<start:long,end:long,p:do
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
 
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Texts in lower case, with the byte at which they begin: all of them, or a longer one in pieces of about STEP bytes between words."""
+    data, offsets = buffers(texts)
+    if len(texts) != 1 or len(data) <= STEP:
+        yield 0, texts
+        return
+    space = np.zeros(256, bool)
+    space[[32, *range(9, 14)]] = True
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + STEP)
+        while end < len(data):
+            near = np.flatnonzero(space[data[end : end + (1 << 16)]])
+            end += int(near[0]) if len(near) else 1 << 16
+            if len(near):
+                break
+        end = min(end, len(data))
+        yield at, pa.array([data[at:end].tobytes().decode()], pa.large_string())
+        at = end
+
+
 def judge(model: Model, texts: pa.Array, spans: bool = True) -> tuple[np.ndarray, list[list[dict]]]:
     """Score of each text, and its offending spans by offsets in characters."""
-    words, feats = tokens(texts)
-    p = marginals(model.emission(feats), np.bincount(words.doc, minlength=words.count), model.moves)
-    x = summary(model, words.doc, feats, words.count, p)
+    lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    count, parts = len(lower), []
+    for at, piece in _pieces(lower):
+        words, feats = tokens(piece)
+        parts.append((words.doc, words.start + at, words.end + at, model.emission(feats)))
+        del words, feats
+    doc, start, end, emission = (np.concatenate(c) for c in zip(*parts, strict=True))
+    p = marginals(emission, np.bincount(doc, minlength=count), model.moves)
+    x = summary(model, doc, np.zeros((len(doc), 0)), count, p)
     score = 1 / (1 + np.exp(-np.clip(x @ model.blend, -30, 30)))
-    found: list[list[dict]] = [[] for _ in range(words.count)]
-    if spans:
-        hits = np.flatnonzero(p >= SPAN)
-        runs = np.split(hits, np.flatnonzero((np.diff(hits) > 1) | (np.diff(words.doc[hits]) > 0)) + 1) if len(hits) else []
-        for run in runs:
-            d, a, b = int(words.doc[run[0]]), int(words.start[run[0]]), int(words.end[run[-1]])
-            begin = len(words.data[words.offsets[d] : a].tobytes().decode())
-            found[d].append({"start": begin, "end": begin + len(words.data[a:b].tobytes().decode()), "p": float(p[run].max())})
+    found: list[list[dict]] = [[] for _ in range(count)]
+    hits = np.flatnonzero(p >= SPAN) if spans else []
+    if len(hits):
+        data, offsets = buffers(lower)
+        first = np.flatnonzero(np.r_[True, (np.diff(hits) > 1) | (np.diff(doc[hits]) > 0)])
+        last = np.r_[first[1:], len(hits)] - 1
+        owner, begin, stop, best = doc[hits[first]], start[hits[first]], end[hits[last]], np.maximum.reduceat(p[hits], first)
+        # characters before each place: the bytes that begin one, summed from mark to mark
+        marks = np.unique(np.concatenate([offsets[:-1][owner], begin, stop]))
+        marks = marks[marks < len(data)]
+        leads = ((data & 0xC0) != 0x80).view(np.uint8)
+        sums = np.concatenate([[0], np.cumsum(np.add.reduceat(leads, marks, dtype=np.int64))])
+        chars = lambda at: sums[np.searchsorted(marks, at)]
+        base = chars(offsets[:-1][owner])
+        for d, a, b, q in zip(owner.tolist(), (chars(begin) - base).tolist(), (chars(stop) - base).tolist(), best.tolist(), strict=True):
+            found[d].append({"start": a, "end": b, "p": q})
     return score, found
 
 
@@ -316,9 +388,9 @@ def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted)."""
-    rows = score(docs, fit(docs, labels), spans=False)
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    """(doc_id, held_out, score, predicted, spans)."""
+    rows = score(docs, fit(docs, labels))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:

@@ -460,6 +460,29 @@ def test_marginals_are_those_of_all_paths():
         at += n
 
 
+def test_long_chains_are_swept_in_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    emission, lengths, moves = rng.normal(0, 4, 5000), np.array([3000, 1, 1500, 499]), np.array([0.3, -2.0, -1.0, 1.5])
+    whole = toxicity.marginals(emission, lengths, moves)
+    monkeypatch.setattr(toxicity, "LONG", 400)
+    assert toxicity.marginals(emission, lengths, moves) == pytest.approx(whole, abs=1e-9)
+
+
+def test_a_text_in_pieces_scores_as_a_whole(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    bad = [r.text for r in toxicity.score(docs, model).where("size(spans) > 1").join(docs, "doc_id").select("text").limit(5).collect()]
+    text = "ÉTÉ ☃ ".join(bad) * 3
+    score, spans = toxicity.judge(model, pa.array([text, "clean", None]))
+    assert len(spans[0]) >= 6 and spans[1] == spans[2] == []
+    known = {w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").lower() for t in bad for w in t.split()}
+    assert all(set(x.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").lower() for x in text[s["start"] : s["end"]].split()) <= known | {"été", "☃"} for s in spans[0])
+    monkeypatch.setattr(toxicity, "STEP", 300)
+    cut, cut_spans = toxicity.judge(model, pa.array([text]))
+    assert cut[0] == pytest.approx(score[0], abs=1e-9)
+    assert [(s["start"], s["end"]) for s in cut_spans[0]] == [(s["start"], s["end"]) for s in spans[0]]
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     got = QUERIES["op8_toxicity"](spark, d).toPandas()
