@@ -517,7 +517,7 @@ def near_groups(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) ->
     return out.select("doc_id", "n_shingles", F.coalesce("_name", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one document of each component: that whose doc_id names it, of several texts with it that of the lowest digest.
     Rows that agree in doc_id and text are one document; texts without words are components of their own."""
     sets, named = _grouped(docs, k, num, den)

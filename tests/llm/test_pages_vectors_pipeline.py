@@ -222,8 +222,8 @@ def test_pipeline_against_plain_stages(spark):
 
 
 def brute_near(rows):
-    """As brute.near, comparing only sets that share a shingle."""
-    sets = {i: brute.shingles(t) for i, t in rows}
+    """As brute.near with five words and 0.8, comparing only sets that share a shingle."""
+    sets = {i: brute.shingles(t, 5) for i, t in rows}
     owners = {}
     pairs = set()
     for i, s in sorted(sets.items()):
@@ -231,7 +231,7 @@ def brute_near(rows):
             for j in owners.setdefault(g, []):
                 pairs.add((j, i))
             owners[g].append(i)
-    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     comp = brute.components(sets, links)
     return {i: (len(s), comp[i]) for i, s in sets.items()}
 
