@@ -8,7 +8,8 @@ executors and repeated attempts do no harm.
 
 read() goes through an archive once, with memory for one head (a url) and a step: it inflates one gzip member at a time in small
 steps, frames the record by its Content-Length, and verifies the digests of block and payload. A record that
-does not agree with its length or digest raises.
+does not agree with its length or digest raises. Archives of other writers are read too: records of every type, digests
+by SHA-1, SHA-256, SHA-512 or MD5 in hex or base 32, or none, and revisits without a block.
 
 Scale: the digests of all rows are aggregated with map-side combining and only digests that occur more than
 once are joined back; the join is one that Spark may split where a group of equal payloads is large. The
@@ -22,6 +23,7 @@ no archives and no rows.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -37,6 +39,8 @@ from .common import cut, lean, new_folder, shuffle_parts, small_batches, spread
 MIN_PAYLOAD = 100
 ARCHIVE_BYTES = 64 << 20
 STEP = 1 << 16
+#: Bytes of a record's head, which holds a url, and of its HTTP head; a damaged record has no end of either.
+HEAD, HTTP_HEAD = 1 << 28, 1 << 24
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -120,7 +124,7 @@ class _Body:
         at = held.find(mark)
         while at < 0:  # a head is as long as its url
             more = next(self.steps, b"")
-            if not more:
+            if not more or len(held) > HEAD:
                 raise ValueError("a record without end of head")
             seen = max(0, len(held) - len(mark) + 1)
             held += more
@@ -138,42 +142,97 @@ class _Body:
             n -= len(part)
             yield part
 
-    def rest(self) -> bytes:
-        return self.held + b"".join(self.steps)
+    def ends_with(self, mark: bytes) -> bool:
+        """Whether what is left is exactly mark; a longer rest is not read."""
+        while len(self.held) <= len(mark):
+            more = next(self.steps, b"")
+            if not more:
+                break
+            self.held += more
+        return self.held == mark
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Names in lower case; a line that begins with white space goes on with the field before."""
+    out, last = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            last = name.strip().lower()
+            out[last] = value.strip()
+    return out
+
+
+class _Digests:
+    """Running digests of bytes: SHA-256, and what else a head declares."""
+
+    def __init__(self, declared: str | None):
+        self.declared = declared
+        self.kind, _, self.value = (declared or "").partition(":")
+        self.kind = self.kind.lower().replace("-", "")
+        self.sha256 = hashlib.sha256()
+        self.other = hashlib.new(self.kind) if self.kind in ("sha1", "sha512", "md5") else None
+
+    def update(self, part: bytes) -> None:
+        self.sha256.update(part)
+        if self.other:
+            self.other.update(part)
+
+    def agrees(self) -> bool:
+        """Whether the declared digest, in hex or base 32, is that of the bytes; one that is missing or of an unknown kind says nothing."""
+        own = self.sha256 if self.kind == "sha256" else self.other
+        if own is None:
+            return True
+        return self.value.lower() == own.hexdigest() or self.value.upper().rstrip("=") == base64.b32encode(own.digest()).decode().rstrip("=")
 
 
 def read_stream(stream, archive: str = "", payloads: bool = False) -> Iterator[dict]:
-    """The records of an archive in order. payloads: each has its payload too, else only size and digest are kept."""
+    """The records of an archive in order, of whatever type and writer. payloads: each has its payload too, else only size and digest are kept.
+
+    payload_bytes of a revisit is what its own HTTP head declares, or null; payload_digest is the SHA-256 of what is there, for a
+    revisit the one declared (bare if SHA-256). Records without HTTP content have their whole block as payload."""
     for offset, steps in Members(stream):
         body = _Body(steps)
-        first, *lines = body.until(b"\r\n\r\n").decode().split("\r\n")
-        if not first.startswith("WARC/1."):
+        first, *lines = body.until(b"\r\n\r\n").decode(errors="replace").split("\r\n")
+        head = _fields(lines)
+        if not first.startswith("WARC/") or "warc-type" not in head or not head.get("content-length", "").isdigit():
             raise ValueError(f"no WARC record at {offset} of {archive}")
-        head = dict(x.split(": ", 1) for x in lines)
-        block, payload, http, size, kept = hashlib.sha256(), hashlib.sha256(), b"", 0, []
-        for part in body.take(int(head["Content-Length"])):
+        kind, size, kept, status = head["warc-type"].lower(), 0, [], None
+        http = bytearray() if kind in ("response", "revisit", "request") and head.get("content-type", "application/http").lower().startswith("application/http") else None
+        block, payload = _Digests(head.get("warc-block-digest")), _Digests(head.get("warc-payload-digest"))
+        for part in body.take(int(head["content-length"])):
             block.update(part)
             if http is not None:
+                seen = max(0, len(http) - 3)
                 http += part
-                if b"\r\n\r\n" not in http:
+                at = http.find(b"\r\n\r\n", seen)
+                if at < 0:
+                    if len(http) > HTTP_HEAD:
+                        raise ValueError(f"the HTTP head of the record at {offset} of {archive} has no end")
                     continue
-                status, part = http.split(b"\r\n\r\n", 1)
-                http = None
+                status, part, http = bytes(http[:at]), bytes(http[at + 4 :]), None
             payload.update(part)
             size += len(part)
             if payloads:
                 kept.append(part)
-        if body.rest() != b"\r\n\r\n":
+        if not body.ends_with(b"\r\n\r\n"):
             raise ValueError(f"the record at {offset} of {archive} is longer than its Content-Length")
-        if f"sha256:{block.hexdigest()}" != head["WARC-Block-Digest"]:
+        if not block.agrees():
             raise ValueError(f"the block digest of the record at {offset} of {archive} does not agree")
-        declared = int(dict(x.split(": ", 1) for x in status.decode().split("\r\n")[1:])["Content-Length"])
-        revisit = head["WARC-Type"] == "revisit"
-        digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-        if not revisit and (payload.hexdigest() != digest or size != declared):
+        revisit = kind == "revisit"
+        fields = _fields((status or b"").decode(errors="replace").split("\r\n")[1:])
+        declared = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else None
+        # chunked and compressed bodies have other lengths than their heads may say
+        plain = not fields.keys() & {"transfer-encoding", "content-encoding"}
+        if not revisit and (not payload.agrees() or kind == "response" and plain and declared is not None and size != declared):
             raise ValueError(f"the payload digest of the record at {offset} of {archive} does not agree")
+        digest = payload.sha256.hexdigest()
+        if revisit:
+            digest = payload.value.lower() if payload.kind == "sha256" else payload.declared
         number = lambda k: int(head[k]) if k in head else None
-        out = {"page_id": number("WARC-Page-ID"), "url": head.get("WARC-Target-URI"), "record_type": head["WARC-Type"], "payload_bytes": declared, "payload_digest": digest, "refers_to": number("WARC-Refers-To-Page-ID"), "archive": archive, "offset": offset}
+        out = {"page_id": number("warc-page-id"), "url": head.get("warc-target-uri"), "record_type": kind, "payload_bytes": declared if revisit else size, "payload_digest": digest, "refers_to": number("warc-refers-to-page-id"), "archive": archive, "offset": offset}
         yield out | ({"payload": b"".join(kept)} if payloads else {})
 
 

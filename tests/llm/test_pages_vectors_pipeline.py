@@ -1,5 +1,6 @@
 """WARC round trips, URL rules, near-duplicate vectors, components and the pipeline."""
 
+import base64
 import gzip
 import hashlib
 import io
@@ -75,6 +76,40 @@ def test_damage_is_found():
         list(warc.read_stream(io.BytesIO(warc.member(good)[:-10])))
 
 
+def foreign(kind, block=b"", **head):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", *(f"{k.replace('_', '-')}: {v}" for k, v in head.items()), f"Content-Length: {len(block)}"]
+    return warc.member(("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n")
+
+
+def test_archives_of_other_writers():
+    page = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>text</p>"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(b"<p>text</p>").digest()).decode()
+    records = [
+        foreign("revisit", WARC_Payload_Digest=sha1),
+        foreign("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"),
+        foreign("response", page, WARC_Payload_Digest=sha1, WARC_Target_URI="http://a.net/"),
+        foreign("revisit", b"", Content_Type="application/http", WARC_Payload_Digest=sha1),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        foreign("metadata", b"a: b", Content_Type="application/warc-fields"),
+        foreign("response", page.replace(b"X: y", b"Content-Length: 99\r\nTransfer-Encoding: chunked")),
+    ]
+    got = list(warc.read_stream(io.BytesIO(b"".join(records)), payloads=True))
+    assert [r["record_type"] for r in got] == ["revisit", "warcinfo", "response", "revisit", "request", "metadata", "response"]
+    assert [r["payload_bytes"] for r in got] == [None, 13, 11, None, 0, 4, 11]
+    assert got[2]["payload"] == b"<p>text</p>" and got[2]["url"] == "http://a.net/" and got[3]["payload_digest"] == sha1
+    for bad in (foreign("response", page, WARC_Payload_Digest=sha1.replace("A", "B").replace("C", "D")), foreign("response", page, WARC_Block_Digest="md5:00"), warc.member(b"WARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n")):
+        with pytest.raises(ValueError):
+            list(warc.read_stream(io.BytesIO(bad)))
+
+
+def test_a_head_without_end_is_not_held(monkeypatch):
+    monkeypatch.setattr(warc, "HEAD", 1 << 20)
+    monkeypatch.setattr(warc, "HTTP_HEAD", 1 << 20)
+    for bad in (warc.member(b"WARC/1.0\r\n" + b"x" * (8 << 20)), foreign("response", b"HTTP/1.1 200 OK\r\n" + b"x" * (8 << 20)), warc.member(b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 0\r\n\r\n" + b"x" * (8 << 20))):
+        with pytest.raises(ValueError):
+            list(warc.read_stream(io.BytesIO(bad)))
+
+
 # ---------------------------------------------------------------- URL rules
 
 
