@@ -257,6 +257,32 @@ def test_cuckoo_index_with_insertions_and_deletions():
     assert all(index.get(k) == model.get(k) and (k in index) == (k in model) for k in keys)
 
 
+def test_withdrawn_texts_leave_the_index(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "FLUSH", 3)
+    docs = spark.createDataFrame([(i, f"text {i % 7}" + " " * (i % 3)) for i in range(40)], "doc_id long, text string").repartition(5)
+    gone = spark.createDataFrame([("text3",), ("text 5 ",), ("no such text",)], "text string")
+    every = {r.doc_id: r for r in dedup.groups(docs).collect()}
+    for r in dedup.groups(docs, gone).collect():
+        if r.doc_id % 7 in (3, 5):
+            assert (r.keep_id, r.group_size, r.kept) == (None, None, False)
+        else:
+            assert r == every[r.doc_id]
+
+
+def test_of_several_texts_under_one_id_the_longest_stays(spark):
+    docs = spark.createDataFrame([(4, "ab"), (4, "a b"), (5, "a  b"), (3, "ab"), (5, "ab")], "doc_id long, text string")
+    assert [(r.doc_id, r.text) for r in dedup.keep_one(docs).collect()] == [(5, "a  b")]
+    assert [(r.doc_id, r.text) for r in dedup.keep_one(docs.where("doc_id = 4")).collect()] == [(4, "a b")]
+
+
+def test_many_keys_with_equal_leading_bytes_end():
+    index = dedup.CuckooIndex(2)
+    keys = [b"\7" * 10 + bytes([i]) * 22 for i in range(60)]
+    for i, k in enumerate(keys):
+        index.put(k, i)
+    assert [index.get(k) for k in keys] == list(range(60)) and index.delete(keys[9]) and keys[9] not in index and len(index) == 59
+
+
 def test_equal_fingerprints_are_told_apart():
     index = dedup.CuckooIndex(2)
     a, b = b"\0" * 32, b"\0" * 31 + b"\1"  # same buckets, same fingerprint
