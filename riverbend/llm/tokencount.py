@@ -1,26 +1,28 @@
 """Operator 4: token counts of sections by offset-mapped attribution.
 
-A document is encoded once, as a whole. The lengths of its tokens in bytes, summed up, give every token's span; the
-spans are joined with the intervals of the document's sections by one sorted search. A token that lies in several
-sections is allocated by a rule:
+A document is encoded once, as a whole. The lengths of its tokens in bytes, summed up, give every token's span. Sections
+are intervals of the document: its lines with their line feed, or those that a column of it gives in characters, such as
+the places of fields in a text that was put together from them (with_fields). The spans of the tokens are joined with
+the intervals by sorted searches, without a loop over either. A token that meets several sections is allocated by a rule:
 
-* first: to the section of its first character (the default);
-* last: to the section of its last character;
-* most: to the section with most of its bytes, the earlier of equals.
+* first: to the sections that hold its first character (the default);
+* last: to the sections that hold its last character;
+* most: to the section with most of its bytes, of equals the one that begins first, then the one named first.
 
-So every token counts once, and the sections of a document add up to its tokens. Sections are lines with their line
-feed unless other intervals are given. Offsets are in characters; a token that begins inside a character begins with
-that character.
+So where sections cover the document without overlap, every token counts once and the sections add up to its tokens. A token in a
+gap counts in no section; with the first two rules, one in overlapping sections counts in each of them. Offsets are in
+characters; a token that begins inside a character begins with that character.
 
 Scale: narrow, one pass, no shuffle; a long text is encoded in slices cut where no token can lie across.
 
-Defined results: null and empty texts have one section from 0 to 0 without tokens; repeated rows get their rows each; a
-null doc_id is kept; extra columns are ignored; an empty table gives no rows.
+Defined results: null and empty texts have one line from 0 to 0 without tokens; repeated rows get their rows each; a
+null doc_id is kept; extra columns are ignored; an empty table gives no rows. Given intervals are cut to the text, one that
+ends before it begins is empty, one with a null end holds nothing, and a null or empty list of them gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -48,28 +50,76 @@ def token_bytes(json_path: str) -> np.ndarray:
     return out
 
 
-def lines(data: bytes) -> np.ndarray:
+def lines(data: np.ndarray) -> np.ndarray:
     """Byte offsets at which the lines of a text begin."""
-    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
+    ends = np.flatnonzero(data == 10) + 1
     return np.concatenate([[0], ends[ends < len(data)]]).astype(np.int64)
 
 
-def attribute(lengths: np.ndarray, starts: np.ndarray, rule: str = "first") -> np.ndarray:
-    """Tokens per section, from the byte lengths of a text's tokens and the byte offsets of its sections."""
+def join(begin: np.ndarray, end: np.ndarray, starts: np.ndarray, stops: np.ndarray, rule: str = "first") -> np.ndarray:
+    """Tokens allocated to each interval [start, stop), from the spans [begin, end) of tokens in order, none of them empty."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    stops = np.maximum(starts, stops)
+    if rule != "most":
+        at = begin if rule == "first" else end - 1
+        return np.searchsorted(at, stops) - np.searchsorted(at, starts)
+    low = np.searchsorted(end, starts, side="right")
+    high = np.maximum(np.searchsorted(begin, stops), low)
+    high[stops == starts] = low[stops == starts]
+    section = np.repeat(np.arange(len(starts)), high - low)
+    token = np.arange(len(section)) - np.repeat(np.cumsum(high - low) - high, high - low)
+    share = np.minimum(end[token], stops[section]) - np.maximum(begin[token], starts[section])
+    order = np.lexsort((section, starts[section], -share, token))
+    won = order[np.flatnonzero(np.diff(token[order], prepend=-1))]
+    return np.bincount(section[won], minlength=len(starts))
+
+
+def attribute(lengths: np.ndarray, starts: np.ndarray, rule: str = "first") -> np.ndarray:
+    """Tokens per section, from the byte lengths of a text's tokens and the byte offsets of sections that follow each other."""
+    end = np.cumsum(lengths)
+    return join(end - lengths, end, starts, np.append(starts[1:], max(int(end[-1]) if len(end) else 0, int(starts[-1]))), rule)
+
+
+def chars_before(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many characters of UTF-8 bytes begin before each place."""
+    marks = np.unique(np.concatenate([[0], places]))
+    marks = marks[marks < len(data)]
+    leads = ((data & 0xC0) != 0x80).view(np.uint8)
+    sums = np.concatenate([[0], np.cumsum(np.add.reduceat(leads, marks, dtype=np.int64))]) if len(marks) else np.zeros(1, np.int64)
+    return sums[np.searchsorted(marks, places)]
+
+
+def byte_places(data: np.ndarray, chars: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """The byte at which each character begins; the end of the text for those beyond it."""
+    out = np.full(len(chars), len(data), np.int64)
+    order = np.argsort(chars, kind="stable")
+    seen = i = 0
+    for at in range(0, len(data), step):
+        leads = np.flatnonzero((data[at : at + step] & 0xC0) != 0x80)
+        to = int(np.searchsorted(chars[order], seen + len(leads)))
+        out[order[i:to]] = at + leads[chars[order[i:to]] - seen]
+        seen, i = seen + len(leads), to
+    return out
+
+
+def sections_of(data: np.ndarray, given: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the intervals that a row gives in characters."""
+    pairs = np.array([(-1, -1) if x is None or x["start"] is None or x["end"] is None else (max(x["start"], 0), max(x["end"], 0)) for x in given or ()], np.int64).reshape(-1, 2)
+    void = (pairs < 0).any(axis=1)
+    places = byte_places(data, np.maximum(pairs, 0).reshape(-1)).reshape(-1, 2)
+    places[void] = 0
+    return places[:, 0], np.maximum(places[:, 0], places[:, 1])
+
+
+def allocate(data: np.ndarray, lengths: np.ndarray, starts: np.ndarray, stops: np.ndarray, rule: str) -> np.ndarray:
+    """Tokens of each interval of a text, from its bytes and the byte lengths of its tokens."""
     end = np.cumsum(lengths)
     begin = end - lengths
-    first = np.searchsorted(starts, begin, side="right") - 1
-    last = np.searchsorted(starts, np.maximum(end - 1, begin), side="right") - 1
-    at = last if rule == "last" else first
-    if rule == "most":
-        at = first.copy()
-        limits = np.append(starts, end[-1] if len(end) else 0)
-        for i in np.flatnonzero(first != last):
-            share = [min(end[i], limits[s + 1]) - max(begin[i], limits[s]) for s in range(first[i], last[i] + 1)]
-            at[i] = first[i] + int(np.argmax(share))
-    return np.bincount(at, minlength=len(starts))
+    for _ in range(3):  # a token that begins inside a character begins with it
+        inside = np.flatnonzero((data[begin] & 0xC0) == 0x80) if len(begin) else begin
+        begin[inside] -= 1
+    return join(begin, end, starts, stops, rule)
 
 
 def _work(batches: Iterator[pa.RecordBatch], paths: tuple[str, str | None], rule: str) -> Iterator[pa.RecordBatch]:
@@ -83,16 +133,20 @@ def _work(batches: Iterator[pa.RecordBatch], paths: tuple[str, str | None], rule
         if encoder is None:
             encoder, sizes = Encoder(*paths), token_bytes(paths[0])
         ids, texts = batch.column("doc_id"), batch.column("text")
+        given = batch.column("sections") if "sections" in batch.schema.names else None
         for i in range(batch.num_rows):
             doc_id, text = ids[i].as_py(), texts[i].as_py() or ""
-            data = text.encode()
-            starts = lines(data)
+            data = np.frombuffer(text.encode(), np.uint8)
+            if given is None:
+                starts = lines(data)
+                stops = np.append(starts[1:], len(data))
+            else:
+                starts, stops = sections_of(data, given[i].as_py())
             lengths = sizes[encoder.ids(text)] if text else np.zeros(0, np.int64)
-            counts = attribute(lengths, starts, rule)
-            chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
-            places = chars[np.append(starts, len(data))]
+            counts = allocate(data, lengths, starts, stops, rule)
+            places = chars_before(data, np.concatenate([starts, stops]))
             n = len(starts)
-            rows.append(([doc_id] * n, np.arange(n), places[:-1], places[1:], counts, np.full(n, len(lengths))))
+            rows.append(([doc_id] * n, np.arange(n), places[:n], places[n:], counts, np.full(n, len(lengths))))
             held += n
             if held >= 20_000:
                 yield out()
@@ -101,9 +155,21 @@ def _work(batches: Iterator[pa.RecordBatch], paths: tuple[str, str | None], rule
         yield out()
 
 
-def count(docs: DataFrame, rule: str = "first", tokenizer: tuple[str, str | None] | None = None) -> DataFrame:
-    """(doc_id, section, start, end, tokens, doc_tokens), one row per line of each document."""
+def with_fields(docs: DataFrame, columns: Sequence[str], between: str = "\n") -> DataFrame:
+    """(doc_id, text, sections): the columns put together as one text, and where each of them lies in it; null is empty."""
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
+    spans, at = [], F.lit(0).cast("long")
+    for x in parts:
+        end = at + F.char_length(x)
+        spans.append(F.struct(at.alias("start"), end.alias("end")))
+        at = end + len(between)
+    return docs.select("doc_id", F.concat_ws(between, *parts).alias("text"), F.array(*spans).alias("sections"))
+
+
+def count(docs: DataFrame, rule: str = "first", tokenizer: tuple[str, str | None] | None = None, sections: str | None = None) -> DataFrame:
+    """(doc_id, section, start, end, tokens, doc_tokens), one row per line of each document, or per interval of the column
+    that sections names, an array of structs with start and end in characters."""
     small_batches(docs.sparkSession)
     paths = tokenizer or default_tokenizer()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.col(f"`{sections}`").cast("array<struct<start:long,end:long>>").alias("sections")] if sections else []))
     return rows.mapInArrow(lean(lambda it: _work(it, paths, rule)), OUT)

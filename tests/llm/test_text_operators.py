@@ -1,6 +1,8 @@
 """Operators on documents against plain re-statements, and their defined results in odd cases."""
 
+import functools
 import random
+import re
 import zlib
 
 import brute
@@ -204,6 +206,73 @@ def test_token_counts_against_offsets(docs, rows):
             assert g.tokens.tolist() == np.bincount(starts, minlength=len(g)).tolist()
 
 
+TOKENS = ["first", "last", "most"]
+
+
+def plain_allocation(text, offsets, sections, rule):
+    """Tokens of each interval, one token and one interval after the other; offsets of tokens in bytes."""
+    chars = [len(text[:i].encode()) for i in range(len(text) + 1)]
+    spans = [(chars[min(a, len(text))], chars[min(max(a, b), len(text))]) for a, b in sections]
+    out = [0] * len(sections)
+    for a, b in offsets:
+        first = max(c for c in chars if c <= a)
+        if rule == "most":
+            share = [(min(b, t) - max(first, s), -s, -k) for k, (s, t) in enumerate(spans)]
+            best = max((x for x in share if x[0] > 0), default=None)
+            if best:
+                out[-best[2]] += 1
+        else:
+            for k, (s, t) in enumerate(spans):
+                out[k] += s <= (first if rule == "first" else b - 1) < t
+    return out
+
+
+@given(st.lists(st.sampled_from(["naïve café", "日本語 テキスト", "☃☃", "plain words, and more", " \t\n", "né", "🙂🙃 x"]), min_size=1, max_size=5), st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), max_size=6), st.sampled_from(TOKENS))
+@settings(max_examples=120, deadline=None)
+def test_sections_with_gaps_and_overlaps_in_any_script(parts, sections, rule):
+    text = " ".join(parts)
+    data, lengths = np.frombuffer(text.encode(), np.uint8), SIZES()[np.array(ENCODER().encode(text, add_special_tokens=False).ids)]
+    end = np.cumsum(lengths)
+    starts, stops = tokencount.sections_of(data, [{"start": a, "end": b} for a, b in sections])
+    assert tokencount.allocate(data, lengths, starts, stops, rule).tolist() == plain_allocation(text, list(zip(end - lengths, end, strict=True)), sections, rule)
+    assert list(zip(tokencount.chars_before(data, starts), tokencount.chars_before(data, stops), strict=True)) == [(min(a, len(text)), min(max(a, b), len(text))) for a, b in sections]
+
+
+@functools.cache
+def SIZES():
+    return tokencount.token_bytes(packing.default_tokenizer()[0])
+
+
+@functools.cache
+def ENCODER():
+    return packing.Encoder(packing.default_tokenizer()[0]).main
+
+
+def test_token_counts_of_lines_in_any_script(spark):
+    texts = ["日本語\nテキスト ☃\n\nnaïve café\n", "🙂\n🙃🙃", "é" * 50 + "\n" + "☃ " * 30, "\n\n", "a\rb\x0bc\n d"]
+    got = tokencount.count(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    sizes = tokencount.token_bytes(packing.default_tokenizer()[0])
+    for i, t in enumerate(texts):
+        g = got[got.doc_id == i].sort_values("section")
+        want = re.findall(r"[^\n]*\n|[^\n]+", t)
+        assert [t[a:b] for a, b in zip(g.start, g.end, strict=True)] == want
+        lengths = sizes[np.array(ENCODER().encode(t, add_special_tokens=False).ids)]
+        end = np.cumsum(lengths)
+        spans = np.cumsum([0, *map(len, want)]).tolist()
+        assert g.tokens.tolist() == plain_allocation(t, list(zip(end - lengths, end, strict=True)), list(zip(spans, spans[1:], strict=False)), "first")
+
+
+def test_token_counts_of_fields(spark):
+    docs = spark.createDataFrame([(1, "Título", None, "el cuerpo"), (2, "", "b", "c ☃")], "doc_id long, title string, note string, body string")
+    whole = tokencount.with_fields(docs, ["title", "note", "body"], " | ")
+    texts = {r.doc_id: r.text for r in whole.collect()}
+    got = tokencount.count(whole, sections="sections").collect()
+    assert texts[1] == "Título |  | el cuerpo" and [texts[1][r.start : r.end] for r in got if r.doc_id == 1] == ["Título", "", "el cuerpo"]
+    assert all(sum(r.tokens for r in got if r.doc_id == i) < next(r.doc_tokens for r in got if r.doc_id == i) for i in (1, 2))
+    odd = spark.createDataFrame([(1, "one two", None), (2, "one two", []), (3, "one two", [(None, 3), (5, 2), (-4, 99)]), (4, None, [(0, 5)])], "doc_id long, text string, s array<struct<start:long,end:long>>")
+    assert [(r.doc_id, r.start, r.end, r.tokens) for r in tokencount.count(odd, sections="s").orderBy("doc_id", "section").collect()] == [(3, 0, 0, 0), (3, 5, 5, 0), (3, 0, 7, 2), (4, 0, 0, 0)]
+
+
 def test_boundary_rules():
     lengths, starts = np.array([2, 4, 1]), np.array([0, 3, 5])
     assert tokencount.attribute(lengths, starts, "first").tolist() == [2, 0, 1]
