@@ -44,8 +44,14 @@ MINIMAL = _minimal()
 
 def around(x: np.ndarray, point: np.ndarray, probes: int) -> np.ndarray:
     """The doubled lattice points next to point (n, probes, 8) whose cells lie nearest to x, nearest first."""
+    return point[:, None, :] + MINIMAL[steps(x, point, probes)[0]]
+
+
+def steps(x: np.ndarray, point: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which steps of MINIMAL from point (n, 8) come nearest to x, nearest first, and how much nearer each is (n, probes)."""
     # |x - (p + v)|^2 grows with |v|^2 - 2 v.(x - p), and all v are as long
     gain = (x - point / 2) @ (MINIMAL.T / 2)
     best = np.argpartition(-gain, probes, axis=1)[:, :probes]
-    order = np.take_along_axis(gain, best, axis=1).argsort(axis=1)[:, ::-1]
-    return point[:, None, :] + MINIMAL[np.take_along_axis(best, order, axis=1)]
+    near = np.take_along_axis(gain, best, axis=1)
+    order = near.argsort(axis=1)[:, ::-1]
+    return np.take_along_axis(best, order, axis=1), np.take_along_axis(near, order, axis=1)

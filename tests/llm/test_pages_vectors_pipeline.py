@@ -203,6 +203,39 @@ def test_near_vectors_against_brute_force(spark, monkeypatch, block):
     assert all(got[i].kept == (got[i].component_id == i) for i in ids)
 
 
+def test_recall_at_the_threshold_in_64_dimensions_with_crowded_cells(spark):
+    """Pairs at 0.95 to 0.96, and a cell of many vectors around one direction."""
+    rng = np.random.default_rng(4)
+    u = rng.normal(size=(700, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    x = np.vstack([u, *(at_angle(rng, u, c) for c in (0.9501, 0.953, 0.956, 0.96)), at_angle(rng, np.repeat(u[:1], 900, axis=0), 0.97), at_angle(rng, u, 0.949)])
+    near = plain_near(x)
+    got = {r.vec_id: r.n_links for r in neardup.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(4)).collect()}
+    n = np.array([got[i] for i in range(len(x))])
+    assert (n <= near.sum(1)).all() and n.sum() >= 0.97 * near.sum()
+    single = np.arange(700, 3500)  # those made from one other vector
+    assert n[single].sum() >= 0.97 * near.sum(1)[single].sum()
+
+
+def test_cells_of_several_blocks_keep_the_recall(spark, monkeypatch):
+    """The layout of very many vectors, on few."""
+    monkeypatch.setattr(neardup, "MEET", 1e-6)
+    tables, blocks, width = neardup.layout(2000)
+    assert blocks > 1 and tables <= 30 and width > 1
+    x = vectors()
+    near = plain_near(x)
+    got = {r.vec_id: r.n_links for r in neardup.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
+    n = np.array([got[i] for i in range(len(x))])
+    assert (n <= near.sum(1)).all() and n.sum() >= 0.97 * near.sum()
+
+
+@pytest.mark.parametrize("n", [1, 500, 50_000, 10**6, 10**8, 10**10])
+def test_layout_grows_slowly(n):
+    tables, blocks, width = neardup.layout(n)
+    met = neardup.meeting(width, blocks)
+    assert 1 - (1 - met) ** tables >= neardup.RECALL and tables <= 30 and blocks <= 3
+
+
 def test_vector_odd_rows(spark):
     v = [1.0, 0.0, 2.0]
     rows = [(1, None), (2, []), (3, [0.0, 0.0, 0.0]), (4, [1.0, None, 0.0]), (5, [float("nan"), 1.0, 0.0]), (6, [float("inf"), 1.0, 0.0]), (7, v), (8, [10.0, 0.0, 20.0]), (9, v), (9, v), (10, [1.0, 0.0]), (None, v), (11, [1e200, 0.0, 2e200]), (12, [-1.0, 0.0, -2.0])]
