@@ -10,7 +10,7 @@ it is measured on simulated projections, and as many tables are taken as bring t
 least, TABLES at least. Closer pairs are found more surely. Tests measure it against brute force.
 
 Scale: cells shrink and gain blocks as the vectors grow in number (layout), so that a vector meets about MEET unrelated
-ones in a table at any size, and the tables grow slowly. Cells hold ids until their members are counted, with map-side
+ones in a table at any size, and the tables grow as its fifth root or so. Cells hold ids until their members are counted, with map-side
 combining; vectors whose cells hold nobody else drop out there. A cell's members are dealt to blocks of bounded size and
 compared block against block in numpy, in tasks that return counts and a spanning forest, not pairs; a cell of any
 size is compared in full.

