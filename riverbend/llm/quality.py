@@ -10,9 +10,10 @@ Every slice of texts sends its distinct n-grams with their counts, packed by buc
 shards of that bucket, and what is found is summed per document. Trusted documents are judged without the n-grams that
 no other trusted document has, else each would know itself by heart.
 
-The threshold of a language is a quantile of the
-perplexities of its trusted documents, from counts of perplexities on a fixed grid of GRID nats, so no language's
-rows meet in one task; a document above it is not kept.
+Thresholds are quantiles of the perplexities of trusted documents of one language and of about one length, since those
+of short texts spread far more than those of long ones: bands are powers of two of the bytes. They are taken from counts of
+perplexities on a fixed grid of GRID nats, so no language's rows meet in one task; a document above its threshold is
+not kept. A band with less than ENOUGH trusted documents, too few to have such a quantile, takes that of its language.
 
 Defined results: null and empty texts have no perplexity and are kept as False; a language without trusted documents
 takes the threshold over all trusted ones, and without any trusted document nothing is kept; a null language is one of
@@ -27,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import Spans, buffers, mix, sliced
@@ -37,6 +38,8 @@ ORDER, BITS = 4, 6
 SIZE = 1 << (ORDER * BITS)
 QUANTILE = 0.995
 GRID = 0.001
+#: Trusted documents of a band of lengths that make up a quantile of their own.
+ENOUGH = 200
 SHARDS = 64
 #: Bytes of text taken at a time.
 STEP = 1 << 20
@@ -157,6 +160,11 @@ def load(folder: str) -> np.ndarray:
     return np.log(below, out=below)
 
 
+def mark_context() -> int:
+    """The context of a word that is the first of its text, as a hash of one word."""
+    return int(mix(np.array([MARK + np.uint64(1)], np.uint64)).view(np.int64)[0])
+
+
 def _words(texts: pa.Array, table: np.ndarray) -> dict[str, np.ndarray]:
     """For each word: its text, hashes of the n-grams that end at it (g1 to g3) and of their contexts (x1 to x3), and the log
     probability of its spelling, up to the next word. Two marks stand before the first word. all, bytes: those of whole texts."""
@@ -212,10 +220,12 @@ def train_words(rows: DataFrame, folder: str) -> DataFrame:
     what knowing the n-gram adds to the orders below. own: only one document has it."""
     counts = cut(rows.select("_key", "text").mapInArrow(lean(lambda it: _tally_words(it, folder)), TALLY).groupBy("g").agg(
         *[F.max(c).alias(c) for c in ("x", "s", "x1", "s1", "spell")], F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-    below = lambda df, x, s: df.groupBy(F.col("s").alias("g")).agg(
-        x.alias("x"), s.alias("s"), F.max("s1").alias("s1"), F.max("spell").alias("spell"), F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    two = cut(below(counts, F.max("x1"), F.max("s1")))
-    one = cut(below(two, F.lit(0).cast("long"), F.lit(0).cast("long")))
+    # continuation counts: how many words come before; before the first words of texts nothing does, so these are counted as they occur
+    below = lambda df, x, s, c: df.groupBy(F.col("s").alias("g")).agg(
+        x.alias("x"), s.alias("s"), F.max("s1").alias("s1"), F.max("spell").alias("spell"), F.sum(c).alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    one_each = F.lit(1).cast("long")
+    two = cut(below(counts, F.max("x1"), F.max("s1"), F.when(F.col("x1") == mark_context(), F.col("c")).otherwise(one_each)))
+    one = cut(below(two, F.lit(0).cast("long"), F.lit(0).cast("long"), one_each))
     lower, tables, passed = None, [], []
     for order, table in ((1, one), (2, two), (3, counts)):
         d = _discounts(table)
@@ -359,18 +369,26 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.withColumn("_key", F.xxhash64("doc_id", "text"))
 
 
+def _band(bytes_) -> Column:
+    return F.floor(F.log2(F.greatest(bytes_, F.lit(1)))).cast("int")
+
+
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """From (lang, nats) of trusted documents to (lang, level), and one row with lang null and all True for all of them together.
+    """From (lang, bytes, nats) of trusted documents to (every, lang, band, level): a row for each band of a language with ENOUGH of
+    them, one with band null for each language, and one with every True for all of them together.
 
     The level is the lowest point of the grid that at least the given share of the documents do not exceed."""
-    cells = scored.where("nats IS NOT NULL").groupBy("lang", F.ceil(F.col("nats") / GRID).cast("long").alias("cell")).agg(F.count("*").alias("n"))
+    cells = scored.where("nats IS NOT NULL").groupBy("lang", _band(F.col("bytes")).alias("band"), F.ceil(F.col("nats") / GRID).cast("long").alias("cell")).agg(F.count("*").alias("n"))
     cells = cut(cells)
-    every = cells.groupBy("cell").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "cell", "n", F.lit(True).alias("every"))
-    both = cells.select("lang", "cell", "n", F.lit(False).alias("every")).union(every)
-    by = Window.partitionBy("every", "lang")
+    none = {"lang": F.lit(None).cast("string"), "band": F.lit(None).cast("int")}
+    whole = cells.groupBy("lang", "cell").agg(F.sum("n").alias("n")).select("lang", none["band"].alias("band"), "cell", "n", F.lit(0).alias("level_of"))
+    every = cells.groupBy("cell").agg(F.sum("n").alias("n")).select(*[x.alias(c) for c, x in none.items()], "cell", "n", F.lit(1).alias("level_of"))
+    both = cells.select("lang", "band", "cell", "n", F.lit(2).alias("level_of")).union(whole).union(every)
+    by = Window.partitionBy("level_of", "lang", "band")
     upto = F.sum("n").over(by.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = both.withColumn("_upto", upto).withColumn("_all", F.sum("n").over(by))
-    return ranked.where(F.col("_upto") >= F.col("_all") * quantile).groupBy("every", "lang").agg((F.min("cell") * GRID).alias("level"))
+    ranked = both.withColumn("_upto", upto).withColumn("_all", F.sum("n").over(by)).where((F.col("level_of") < 2) | (F.col("_all") >= ENOUGH))
+    found = ranked.where(F.col("_upto") >= F.col("_all") * quantile).groupBy("level_of", "lang", "band").agg((F.min("cell") * GRID).alias("level"))
+    return found.select((F.col("level_of") == 1).alias("every"), "lang", "band", "level")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, folder: str | None = None) -> DataFrame:
@@ -388,10 +406,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, fol
     scored = scored.join(mine, "doc_id", "left").withColumn("nats", F.when(F.col("_mine"), F.col("held")).otherwise(F.col("nats")))
     scored = cut(scored.drop("held"))
     level = cut(thresholds(scored.where("_mine"), quantile))
-    # at most a row per language on the grid's windows; the row for all languages stands in for those without one
+    # a few rows per language; the row for all languages stands in for those without one
     every = level.where("every").select(F.col("level").alias("_every"))
-    own = level.where("NOT every").select(F.col("lang").alias("_lang"), "level")
-    out = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(every), F.lit(True), "left")
-    threshold = F.coalesce("level", "_every")
+    of = lambda rows, *names: rows.select(*[F.col(n).alias(f"_{n}") for n in names])
+    whole = of(level.where("NOT every AND band IS NULL"), "lang", "level").withColumnRenamed("_level", "_whole")
+    banded = of(level.where("NOT every AND band IS NOT NULL"), "lang", "band", "level")
+    same = F.col("lang").eqNullSafe(F.col("_lang"))
+    out = scored.join(whole, same, "left").drop("_lang")
+    out = out.join(banded, same & (_band(F.col("bytes")) == F.col("_band")), "left").join(F.broadcast(every), F.lit(True), "left")
+    threshold = F.coalesce("_level", "_whole", "_every")
     kept = F.coalesce(F.col("nats") <= threshold, F.lit(False))
     return out.select("doc_id", "lang", F.exp("nats").alias("perplexity"), F.exp(threshold).alias("threshold"), kept.alias("kept"))

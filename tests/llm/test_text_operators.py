@@ -458,8 +458,8 @@ def plain_kneser_ney(trained, spelling):
             g = tuple(t[i - 2 : i + 1])
             counts[3][g] = counts[3].get(g, 0) + 1
     for k in (2, 1):
-        for g in counts[k + 1]:
-            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+        for g, c in counts[k + 1].items():  # words before, or at the beginning of texts, where there are none, occurrences
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + (c if k == 2 and g[1] == "" else 1)
     off = [None]
     for c in counts[1:]:
         n = [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
