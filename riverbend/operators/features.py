@@ -1,4 +1,9 @@
-"""Feature bundles: chains of column functions on one frame, compiled to window expressions."""
+"""Feature bundles: chains of column functions on one frame, compiled to window expressions.
+
+A difference drops the records that have none, as the head of a period, unless its inputs are kept; later steps of its chain see
+the records that are left. The records of a bundle are those that its first entry leaves. Each entry is filled once,
+forwards then backwards, over these records.
+"""
 
 from __future__ import annotations
 
@@ -38,52 +43,82 @@ def _suffixes(names: Sequence[str], prefixes: Sequence[str]) -> dict[str, list[s
     return found
 
 
-def identity(names: Sequence[str], args: Sequence[str], keys: Sequence[str]) -> dict[str, Column]:
-    return {n: F.col(n) for n in names}
+#: What a step makes: new name to column, and the names of which all must be known in a record for any to be.
+Made = tuple[dict[str, Column], list[str]]
+
+
+def identity(columns: Mapping[str, str], args: Sequence[str], keys: Sequence[str], thinned: bool) -> Made:
+    return {n: F.col(f"`{c}`") for n, c in columns.items()}, []
 
 
-def differenced(names: Sequence[str], args: Sequence[str], keys: Sequence[str]) -> dict[str, Column]:
-    """args: k, and keep or drop, whether the inputs stay."""
+def differenced(columns: Mapping[str, str], args: Sequence[str], keys: Sequence[str], thinned: bool) -> Made:
+    """args: k, and keep or drop, whether the inputs stay. thinned: records without values are not there, and the record before is the last that is."""
     k = int(args[0])
-    return _kept(names, args) | {f"{k}_diff_{n}": difference(F.col(n), k, keys) for n in names}
+    over = f"(PARTITION BY {', '.join(f'`{x}`' for x in keys)} ORDER BY idx)"
+    last = lambda c: F.col(f"`{c}`") - F.expr(f"lag(`{c}`, {k}) IGNORE NULLS OVER {over}")
+    made = {f"{k}_diff_{n}": last(c) if thinned else difference(F.col(f"`{c}`"), k, keys) for n, c in columns.items()}
+    return _kept(columns, args) | made, list(made)
 
 
-def _kept(names: Sequence[str], args: Sequence[str]) -> dict[str, Column]:
-    return {n: F.col(n) for n in names} if "keep" in args else {}
+def _kept(columns: Mapping[str, str], args: Sequence[str]) -> dict[str, Column]:
+    return {n: F.col(f"`{c}`") for n, c in columns.items()} if "keep" in args else {}
 
 
-def averaged_executors(names: Sequence[str], args: Sequence[str], keys: Sequence[str]) -> dict[str, Column]:
-    groups = _suffixes(names, [f"{i}_" for i in range(1, 6)])
-    return _kept(names, args) | {f"avg_{s}": active_mean([F.col(c) for c in cols]) for s, cols in groups.items()}
+def averaged_executors(columns: Mapping[str, str], args: Sequence[str], keys: Sequence[str], thinned: bool) -> Made:
+    groups = _suffixes(list(columns), [f"{i}_" for i in range(1, 6)])
+    return _kept(columns, args) | {f"avg_{s}": active_mean([F.col(f"`{columns[n]}`") for n in names]) for s, names in groups.items()}, []
 
 
-def averaged_nodes(names: Sequence[str], args: Sequence[str], keys: Sequence[str]) -> dict[str, Column]:
-    groups = _suffixes(names, [f"node{i}_" for i in range(5, 9)])
-    return _kept(names, args) | {f"avg_node_{s}": plain_mean([F.col(c) for c in cols]) for s, cols in groups.items()}
+def averaged_nodes(columns: Mapping[str, str], args: Sequence[str], keys: Sequence[str], thinned: bool) -> Made:
+    groups = _suffixes(list(columns), [f"node{i}_" for i in range(5, 9)])
+    return _kept(columns, args) | {f"avg_node_{s}": plain_mean([F.col(f"`{columns[n]}`") for n in names]) for s, names in groups.items()}, []
 
 
-#: Name in a chain to function (names, args, keys) -> {new name: column}; further ones may be added.
+#: Name in a chain to function (columns, args, keys, thinned) -> Made, columns from name to column of the frame; further ones may be added.
 FUNCTIONS: dict[str, Callable] = {"identity": identity, "difference": differenced, "execavg": averaged_executors, "nodeavg": averaged_nodes}
 
 
-def apply_chain(df: DataFrame, names: Sequence[str], chain: str, keys: Sequence[str] = KEYS) -> tuple[DataFrame, list[str]]:
-    """The steps of a chain such as execavg.difference_1, each on what the one before made; each is filled from before and after."""
+def _chained(df: DataFrame, names: Sequence[str], chain: str, keys: Sequence[str], entry: int) -> tuple[DataFrame, dict[str, str], str | None]:
+    """df with the results of a chain in columns of their own; from their names to these columns; and the column that tells which records it leaves."""
+    columns, present = {n: n for n in names}, None
     for i, step in enumerate(chain.split(".")):
         name, *args = step.split("_")
-        made = FUNCTIONS[name](names, args, keys)
-        raw = {f"_{i}_{n}": c for n, c in made.items()}
-        df = df.withColumns(raw).withColumns({n: filled(F.col(f"_{i}_{n}"), keys) for n in made}).drop(*raw)
-        names = list(made)
-    return df, list(names)
+        made, strict = FUNCTIONS[name](columns, args, keys, present is not None)
+        at = {n: f"_{entry}_{i}_{n}" for n in made}
+        df = df.withColumns({at[n]: c if present is None else F.when(F.col(present), c) for n, c in made.items()})
+        if strict:
+            left = f"_{entry}_{i}_left"
+            df = df.withColumn(left, reduce(lambda a, b: a & b, [F.col(f"`{at[n]}`").isNotNull() for n in strict]))
+            df = df.withColumns({at[n]: F.when(F.col(left), F.col(f"`{at[n]}`")) for n in strict})
+            present = left if len(strict) == len(made) else present
+        columns = at
+    return df, columns, present
+
+
+def _bundled(df: DataFrame, bundle: Mapping[tuple[str, ...], str], keys: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The records that the first entry leaves, with all entries' results, and from their names to columns."""
+    out, first = {}, None
+    for e, (names, chain) in enumerate(bundle.items()):
+        df, made, present = _chained(df, names, chain, keys, e)
+        out |= made
+        first = present if e == 0 else first
+    return (df if first is None else df.where(F.col(first))), out
+
+
+def _fill(columns: Mapping[str, str], keys: Sequence[str]) -> list[Column]:
+    return [filled(F.col(f"`{c}`"), keys).alias(n) for n, c in columns.items()]
+
+
+def apply_chain(df: DataFrame, names: Sequence[str], chain: str, keys: Sequence[str] = KEYS) -> tuple[DataFrame, list[str]]:
+    """The steps of a chain such as execavg.difference_1, each on what the one before made: df with the results, and their names."""
+    out, made = _bundled(df, {tuple(names): chain}, keys)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *_fill(made, keys)), list(made)
 
 
 def build(df: DataFrame, bundle: Mapping[tuple[str, ...], str], keys: Sequence[str] = KEYS, label: str | None = "label") -> DataFrame:
     """keys, idx, the features of every entry (input columns to chain) of a bundle in order, and the label."""
-    out: list[str] = []
-    for names, chain in bundle.items():
-        df, made = apply_chain(df, names, chain, keys)
-        out += made
-    return df.select(*keys, "idx", *dict.fromkeys(out), *([label] if label and label in df.columns else []))
+    out, made = _bundled(df, bundle, keys)
+    return out.select(*keys, "idx", *_fill(made, keys), *([label] if label and label in df.columns else []))
 
 
 # Names of the metrics that the built-in bundle reads.

@@ -176,12 +176,18 @@ def downsample(spark, sf_dir):
     return resample.downsample(u, lengths, ["value"])
 
 
-@query(sql(fx.H, body=f"SELECT trace, idx, round(coalesce(last_value(d IGNORE NULLS) OVER ({WHOLE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(d IGNORE NULLS) OVER ({WHOLE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS \"1_diff_f_sum\" FROM (SELECT *, f_sum - lag(f_sum) OVER ({WHOLE}) AS d FROM h)"))
+@query(sql(fx.H, body=f"SELECT trace, idx, round(d, 6) AS \"1_diff_f_sum\" FROM (SELECT *, f_sum - lag(f_sum) OVER ({WHOLE}) AS d FROM h) WHERE d IS NOT NULL"))
 def difference_1(spark, sf_dir):
     out, names = features.apply_chain(fx.hourly(spark, sf_dir), ["f_sum"], "difference_1_drop")
     return out.select("trace", "idx", *six(*names))
 
 
+@query(sql(fx.H, body=f"SELECT trace, idx, round(d, 6) AS \"2_diff_1_diff_f_sum\" FROM (SELECT *, (f_sum - lag(f_sum) OVER ({WHOLE})) - (lag(f_sum, 2) OVER ({WHOLE}) - lag(f_sum, 3) OVER ({WHOLE})) AS d FROM h) WHERE d IS NOT NULL"))
+def difference_chain(spark, sf_dir):
+    out, names = features.apply_chain(fx.hourly(spark, sf_dir), ["f_sum"], "difference_1_drop.difference_2_drop")
+    return out.select("trace", "idx", *six(*names))
+
+
 @query(sql(fx.H, body=f"SELECT trace, idx, round(f_sum, 6) AS f_sum, round(coalesce(d, first_value(d IGNORE NULLS) OVER ({WHOLE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS \"2_diff_f_sum\" FROM (SELECT *, f_sum - lag(f_sum, 2) OVER ({WHOLE}) AS d FROM h)"))
 def difference_keep(spark, sf_dir):
     out, names = features.apply_chain(fx.hourly(spark, sf_dir), ["f_sum"], "difference_2_keep")

@@ -125,10 +125,23 @@ def test_window_to_record(spark):
     assert column(windows.window_to_record(few, 3), "score") == pytest.approx([2, 1, 2 / 3])
 
 
-def test_difference_fills_the_head(spark):
+def test_difference_drops_the_head_unless_an_entry_before_keeps_it(spark):
     out, names = features.apply_chain(series(spark, [1, 4, 9]), ["value"], "difference_1_drop")
-    assert names == ["1_diff_value"]
-    assert column(out, names[0]) == [3, 3, 5]
+    assert names == ["1_diff_value"] and column(out, names[0]) == [3, 5]
+    kept = features.build(series(spark, [1, 4, 9]).withColumn("other", F.col("value")), {("other",): "identity", ("value",): "difference_1_drop"})
+    assert column(kept, "1_diff_value") == [3, 3, 5]
+    out, names = features.apply_chain(series(spark, [1, 4, 9, 16]), ["value"], "difference_1_drop.difference_1_drop")
+    assert names == ["1_diff_1_diff_value"] and column(out, names[0]) == [2, 2]
+    out, _ = features.apply_chain(series(spark, [1, 4, 9]), ["value"], "difference_1_keep")
+    assert column(out, "value") == [1, 4, 9] and column(out, "1_diff_value") == [3, 3, 5]
+    late = features.build(series(spark, [1, 4, 9]).withColumn("other", F.col("value")), {("value",): "difference_1_drop", ("other",): "identity"})
+    assert column(late, "other") == [4, 9]
+
+
+def test_a_record_without_value_is_not_there_for_later_steps(spark):
+    gap = series(spark, [1, 4, 0, 9, 16, 36]).withColumn("value", F.nullif("value", F.lit(0.0)))
+    out, names = features.apply_chain(gap, ["value"], "difference_1_drop.difference_1_drop")
+    assert column(out, names[0]) == [4, 13]
 
 
 def test_active_mean(spark):
