@@ -141,6 +141,19 @@ def test_url_odd_rows(spark):
     assert {r.verdict for r in urlfilter.annotate(pages, []).collect()} == {"allow"}
 
 
+def test_url_columns_with_the_names_of_results(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", "mine", "p", "r", "v", "_")], "page_id long, url string, host string, path string, rule string, Verdict string, _host string")
+    got = urlfilter.annotate(pages, columns=pages.columns)
+    assert got.columns == ["page_id", "url", "_host", "host", "path", "rule", "verdict"]
+    assert got.first().asDict() == {"page_id": 1, "url": "http://a.net/x", "_host": "_", "host": "a.net", "path": "/x", "rule": "net/", "verdict": "block"}
+
+
+def test_hosts_of_very_many_labels(spark):
+    hosts = ["a." * 200_000 + "net", "." * 200_000, "x" * 200_000 + ".example.com"]
+    pages = spark.createDataFrame([(i, f"http://{h}/de/x") for i, h in enumerate(hosts)], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in urlfilter.annotate(pages).orderBy("page_id").collect()] == [("net/", "block"), (None, "allow"), ("example.com/de/", "block")]
+
+
 def test_colliding_digests_are_confirmed(tmp_path):
     same = lambda b: 7
     urlfilter.DigestArray.build(urlfilter.RULES, str(tmp_path), "r", same)
