@@ -6,7 +6,7 @@ whose shingles that occur elsewhere are too few to reach the threshold with any
 only their shared shingles, rarest first, and index the prefix that any partner must meet.
 
 Sets that meet in an index list, directly or through others, form a candidate group; a group is found by linking
-each list's members to one of them, not by pairing. A group of a bounded number of sets is joined in one block:
+each list's members to one of them, not by pairing. A group is joined in blocks of a bounded number of sets:
 
 * index level: a block's lists are cut by set size, and inside by position, so entries of a size or at a
   position that cannot reach the overlap are skipped as a whole;
@@ -14,12 +14,11 @@ each list's members to one of them, not by pairing. A group of a bounded number
   needs no look, and the similarities computed for one bound those of the other (Jaccard distance is a metric),
   which settles most pairs without comparing them.
 
-A larger group, which on real text may be held together by passages alone, is joined list by list, and lists with the
-same members once. All of a list meet its lead, and what that links is connected. Only members of a list that are then
-in different components meet: in a block, or, in a long list, in cells of sets of about the same size and about
-the same similarity to the lead, since only these can be linked. So the work of a group grows with its lists
-and not with the square of its sets. No pair list of a group is ever built, and results are exact up to collisions
-of 64-bit hashes.
+Groups with several blocks share a few leaders, to which all their sets are compared; only what that leaves in
+different components is then compared, all of it, in the way that sends fewer rows: the group's blocks against each
+other, or, where a group is long and held together by passages alone, the members of each index list, lists with the same
+members once. So a chain of neighbours costs as much as its lists. No pair list of a group is ever built, and
+results are exact up to collisions of 64-bit hashes.
 
 Scale: two passes over the text; one shuffle of eight bytes per distinct shingle, with the copies of one task
 dropped before; everything else is of the size of what may have a partner. Bucket numbers follow the number of
@@ -32,7 +31,6 @@ doc_id is in no component's name unless there is no other; extra columns are ign
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -48,10 +46,9 @@ from .graph import components
 K = 4
 #: Threshold as a fraction.
 NUM, DEN = 85, 100
-#: Sets in a block.
+#: Sets in a block, and sets to which all blocks of a group are compared.
 BLOCK = 96
-#: Similarities to a lead are kept as whole numbers of this fraction.
-DISTANCE = 1 << 20
+LEADERS = 8
 #: Shingles in a bucket.
 BUCKET = 1_500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -376,97 +373,60 @@ def alive_sets(docs: DataFrame, total: int, k: int = K, num: int = NUM, den: int
     return shared.mapInArrow(lean(lambda it: _alive(it, num, den)), ALIVE)
 
 
-def _star(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block with its lead first; each other set's similarity to that lead."""
-    now, lead, own = None, None, (0, 0)
-    for batch in batches:
-        out: list[tuple[int, int, int, bool]] = []
-        for key, node, size, held, first in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "size", "grams", "first")), strict=True):
-            gram = np.frombuffer(held, np.uint64)
-            if first == 0:
-                now, lead, own = key, np.sort(gram), (node, size)
-            elif key == now and len(lead):
-                at = np.minimum(np.searchsorted(lead, gram), len(lead) - 1)
-                both = int((lead[at] == gram).sum())
-                either = size + own[1] - both
-                out.append((node, own[0], both * DISTANCE // either, den * both >= num * either))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "alike", "linked"])
-
-
-def _stars(edges: DataFrame, alive: DataFrame, num: int, den: int) -> DataFrame:
-    """edges: (node, lead), distinct. The sets of a lead's edges meet it in blocks of BLOCK: (a, b, alike, linked)."""
-    degree = edges.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_k"))
-    name = lambda x: F.concat_ws("/", F.col("lead").cast("string"), x.cast("string")).alias("block")
-    leaves = edges.join(spread(degree), "lead").select(name(F.pmod(F.xxhash64("node", F.lit(5)), F.col("_k"))), "node", F.lit(1).alias("first"))
-    heads = degree.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)).alias("_i"))
-    heads = heads.select(name(F.col("_i")), F.col("lead").alias("node"), F.lit(0).alias("first"))
-    rows = leaves.union(heads).join(alive, "node").select("block", "node", "size", "grams", "first")
-    dealt = rows.repartition(shuffle_parts(alive.sparkSession), "block").sortWithinPartitions("block", "first", "node")
-    return dealt.mapInArrow(lean(lambda it: _star(it, num, den)), "a long, b long, alike long, linked boolean")
-
-
 def _lists(posts: DataFrame) -> DataFrame:
-    """(list, node) of the index lists of two sets or more, each set of members once however many lists hold it."""
+    """posts of the lists that hold several labels, each set of members once however many lists have it. posts: (list, node, root, label)."""
     sums = [F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(20,0)")).alias(f"_s{seed}") for seed in (11, 13)]
-    named = posts.groupBy("list").agg(F.count("*").alias("_n"), *sums).where("_n > 1")
-    once = named.groupBy("_n", "_s11", "_s13").agg(F.min("list").alias("list")).select("list")
+    named = posts.groupBy("list").agg(F.count("*").alias("_n"), F.min("label").alias("_a"), F.max("label").alias("_b"), *sums).where("_a <> _b")
+    once = named.groupBy("_n", "_s11", "_s13").agg(F.min("list").alias("list")).select("list", "_n")
     return cut(posts.join(spread(once), "list"))
 
 
-def _cells(left: DataFrame, alive: DataFrame, num: int, den: int) -> DataFrame:
-    """(root, node, label): the members of each list, long lists cut into cells in which all pairs that may be linked meet.
-
-    Linked sets differ in size by the threshold's factor at most, and in similarity to any third set by one less the threshold:
-    bands of these widths, each with the next, hold every such pair."""
-    total = left.groupBy("list").agg(F.count("*").alias("_n"))
-    sized = left.join(spread(total), "list").join(alive.select("node", "size"), "node")
-    # a little wider than need be, so that rounding parts no pair
-    band = F.floor(F.log(F.col("size").cast("double")) / math.log(den / num + 1e-9)).cast("long")
-    near = F.floor(F.col("alike") / (DISTANCE * (1 - num / den) + 2)).cast("long")
-    both = lambda c: F.explode(F.array(c, c - 1))
-    long = sized.where(F.col("_n") > BLOCK).select("list", "node", "label", both(band).alias("_x"), near.alias("_y"))
-    long = long.select("list", "node", "label", "_x", both(F.col("_y")).alias("_y"))
-    name = lambda *c: F.concat_ws(":", *[F.col(x).cast("string") for x in c]).alias("root")
-    return sized.where(F.col("_n") <= BLOCK).select(name("list"), "node", "label").union(long.select(name("list", "_x", "_y"), "node", "label"))
+def _ways(members: DataFrame, posts: DataFrame) -> DataFrame:
+    """(root, node, label): the sets of large groups under what they are joined by, which is their whole group or, where fewer rows are sent so, its lists."""
+    large = members.select("node", F.col("root").alias("_root"), "label")
+    listed = _lists(posts.join(spread(large), "node").select(F.col("gram").alias("list"), "node", F.col("_root").alias("root"), "label"))
+    rows = lambda n: F.col(n) * F.ceil(F.col(n) / BLOCK)
+    by_list = listed.groupBy("root").agg(F.sum(rows("_n") / F.col("_n")).alias("_by_list"))
+    by_group = members.groupBy("root").agg(F.count("*").alias("_n")).select("root", rows("_n").alias("_by_group"))
+    way = cut(by_group.join(by_list, "root", "left").select("root", (F.coalesce("_by_list", F.lit(0.0)) < F.col("_by_group")).alias("_listed")))
+    whole = members.join(spread(way.where("NOT _listed").select("root")), "root").select(F.concat(F.lit("g"), F.col("root").cast("string")).alias("root"), "node", "label")
+    parts = listed.join(spread(way.where("_listed").select("root")), "root").select(F.concat(F.lit("l"), F.col("list").cast("string")).alias("root"), "node", "label")
+    return cut(whole.union(parts))
 
 
 def links(alive: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(a, b): links between sets that connect exactly what all links of the join connect. alive must be stored."""
     posts = cut(alive.mapInArrow(lean(lambda it: _postings(it, num, den)), "gram long, node long"))
-    lead = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))).getField("n")
-    lists = posts.groupBy("gram").agg(lead.alias("lead"), F.count("*").alias("_n")).where("_n > 1").select("gram", "lead")
+    lead = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n")))
+    lists = posts.groupBy("gram").agg(lead.getField("n").alias("lead"), F.count("*").alias("_n")).where("_n > 1").select("gram", "lead")
     meets = posts.join(spread(lists), "gram").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     group = components(meets)
 
     sized = group.groupBy("root").agg(F.count("*").alias("_n"))
-    placed = cut(group.join(spread(sized), "root").select("node", "root", (F.col("_n") > BLOCK).alias("_large")))
-    few = placed.where("NOT _large").join(alive, "node")
-    near = _join_blocks(few.select(F.col("root").cast("string").alias("block"), "node", "size", "grams", F.lit(0).alias("side"), F.col("node").alias("label")), num, den)
-    large = placed.where("_large").select("node")
-    if not large.limit(1).count():
-        return near
+    placed = group.join(spread(sized), "root").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("long"))
+    at = F.pmod(F.xxhash64(F.col("node"), F.lit(7)), F.col("_blocks"))
+    placed = cut(placed.select("node", "root", "_blocks", at.alias("_at")))
+    sets = alive.join(placed, "node")
 
-    # a large group is joined list by list: first all of a list with one of them
-    members = _lists(posts.join(spread(large), "node").select(F.col("gram").alias("list"), "node"))
-    first = members.groupBy("list").agg(lead.alias("lead"))
-    led = cut(members.join(spread(first), "list").where("node <> lead").select("list", "node", "lead"))
-    stars = cut(_stars(led.select("node", "lead").distinct(), alive, num, den))
-    found = stars.where("linked").select("a", "b")
-    near = near.union(found)
-
-    # then what that has left in different components; the leads have met all of their lists
-    label = components(found).select("node", F.col("root").alias("_label"))
-    like = stars.select(F.col("a").alias("node"), F.col("b").alias("lead"), "alike")
-    left = led.join(spread(label), "node", "left").select("list", "node", "lead", F.coalesce("_label", "node").alias("label"))
-    apart = left.groupBy("list").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("list")
-    left = left.join(spread(apart), "list").join(spread(like), ["node", "lead"]).select("list", "node", "label", "alike")
-    once = _lists(left.select("list", "node")).select("list").distinct()
-    members = cut(_cells(cut(left.join(spread(once), "list")), alive, num, den))
-    if not members.limit(1).count():
+    name = lambda *c: F.concat_ws("/", *[x.cast("string") for x in c])
+    own = sets.select(name(F.col("root"), F.col("_at")).alias("block"), "node", "size", "grams", F.lit(0).alias("side"), F.col("node").alias("label"))
+    large = placed.where("_blocks > 1")
+    # the leaders of a group are the sets with the lowest hashes: one for each of LEADERS shares of its blocks
+    low = large.groupBy("root", "_blocks", "_at").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))).alias("low"))
+    best = low.groupBy("root", "_blocks", F.pmod("_at", F.lit(LEADERS)).alias("_r")).agg(F.min(F.struct("low", "_at")).alias("m"))
+    best = best.select("root", "_blocks", "m.low", "m._at")
+    best = best.select(F.col("low.node").alias("node"), F.col("_at").alias("_home"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_to"), "root")
+    leaders = best.where("_to <> _home").join(alive, "node")
+    leaders = leaders.select(name(F.col("root"), F.col("_to")).alias("block"), "node", "size", "grams", F.lit(0).alias("side"), F.col("node").alias("label"))
+    near = cut(_join_blocks(own.union(leaders), num, den))
+    if not large.limit(1).count():
         return near
 
-    name = lambda *c: F.concat_ws("/", *[x.cast("string") for x in c])
+    # what large groups have left: their sets in components so far
+    so_far = components(near)
+    label = so_far.select("node", F.col("root").alias("_label"))
+    members = large.join(label, "node", "left").select("node", "root", F.coalesce("_label", "node").alias("label"))
+    members = _ways(cut(members), posts)
     parts = cut(members.groupBy("root", "label").agg(F.count("*").alias("_m")))
     split = parts.groupBy("root").agg(F.count("*").alias("_labels"), F.sum(F.when(F.col("_m") < BLOCK, F.col("_m")).otherwise(0)).alias("_few")).where("_labels > 1")
     parts = cut(parts.join(spread(split), "root"))
