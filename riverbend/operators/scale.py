@@ -44,13 +44,18 @@ def scale_regular(df: DataFrame, features: Sequence[str], kind: str = "std", tra
     return out.drop(*stats.columns)
 
 
+def _by_period(df: DataFrame, source: DataFrame, features: Sequence[str], kind: str, keys: Sequence[str]) -> DataFrame:
+    """df by the statistics of its period in source. Percentiles are an aggregate, since a window would hold the trace once per record."""
+    made = {c: _stats(F.col(c).cast("double"), kind) for c in features}
+    stats = source.groupBy(*keys).agg(*[x.alias(f"_{n}_{c}") for c, pair in made.items() for n, x in zip("os", pair, strict=True)])
+    out = df.join(stats, list(keys), "left").withColumns({c: _apply(F.col(c), F.col(f"_o_{c}"), F.col(f"_s_{c}")) for c in features})
+    return out.select(*df.columns)
+
+
 def scale_trace(df: DataFrame, features: Sequence[str], kind: str = "std", keys: Sequence[str] = KEYS) -> DataFrame:
     """By statistics of the whole trace."""
-    if kind == "robust":  # percentiles as an aggregate, since a window would hold the trace once per record
-        made = {c: _stats(F.col(c).cast("double"), kind) for c in features}
-        stats = df.groupBy(*keys).agg(*[x.alias(f"_{n}_{c}") for c, pair in made.items() for n, x in zip("os", pair, strict=True)])
-        out = df.join(stats, list(keys)).withColumns({c: _apply(F.col(c), F.col(f"_o_{c}"), F.col(f"_s_{c}")) for c in features})
-        return out.select(*df.columns)
+    if kind == "robust":
+        return _by_period(df, df, features, kind, keys)
     return df.withColumns({c: _apply(F.col(c), *_stats(F.col(c), kind, whole(keys))) for c in features})
 
 
@@ -64,6 +69,8 @@ def scale_head(df: DataFrame, features: Sequence[str], kind: str = "std", size:
     With regular_weight w, offset and scale are w times those of the training records and 1 - w times the head's, and
     training records themselves take the training statistics alone. The robust kind cannot be combined so."""
     if not regular_weight:
+        if kind == "robust":
+            return _by_period(df, df.where(F.col("idx") < size), features, kind, keys)
         return df.withColumns({c: _apply(F.col(c), *_head(F.col(c), kind, size, keys)) for c in features})
     if kind == "robust":
         raise ValueError("the robust scaler cannot be combined with training statistics")

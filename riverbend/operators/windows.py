@@ -15,11 +15,21 @@ def sliding_windows(df: DataFrame, features: Sequence[str], size: int, step: int
 
     remainder: where records are left over, one more window of the last `size` records."""
     record = F.array(*[F.col(c).cast("double") for c in features])
-    held = df.select(*keys, "idx", F.collect_list(record).over(rows(0, size - 1, keys)).alias("window"), F.count("*").over(whole(keys)).alias("_n"))
-    regular = F.col("idx") % step == 0
+    if step == 1:  # every record starts a window
+        held = df.select(*keys, F.col("idx").alias("w_start"), F.collect_list(record).over(rows(0, size - 1, keys)).alias("window"))
+        return held.where(F.size("window") == size)
+    # each record goes to the windows that hold it, so that only windows of the result are built
+    idx, n = F.col("idx"), F.col("_n")
+    first, last = F.greatest(F.ceil((idx - size + 1) / step), F.lit(0)).cast("long"), F.floor(idx / step).cast("long")
+    starts = F.when(first <= last, F.transform(F.sequence(first, last), lambda k: k * step)).otherwise(F.array().cast("array<bigint>"))
+    starts = F.filter(starts, lambda s: s + size <= n)
     if remainder:
-        regular = regular | (F.col("idx") == F.col("_n") - size)
-    return held.where(regular & (F.col("idx") + size <= F.col("_n"))).select(*keys, F.col("idx").alias("w_start"), "window")
+        tail = (n - size).cast("long")
+        more = (tail >= 0) & (tail % step != 0) & (idx >= tail)
+        starts = F.concat(starts, F.when(more, F.array(tail)).otherwise(F.array().cast("array<bigint>")))
+    held = df.withColumn("_n", F.count("*").over(whole(keys))).select(*keys, "idx", record.alias("_r"), F.explode(starts).alias("w_start"))
+    windows = held.groupBy(*keys, "w_start").agg(F.array_sort(F.collect_list(F.struct("idx", "_r"))).alias("window"))
+    return windows.select(*keys, "w_start", F.col("window._r").alias("window"))
 
 
 def window_means(df: DataFrame, features: Sequence[str], size: int, step: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:

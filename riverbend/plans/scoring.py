@@ -165,7 +165,7 @@ def point_metrics(spark, sf_dir):
     return evaluate.point_metrics(_records(spark, sf_dir)).select("cls", *six("precision", "recall", "f"))
 
 
-_N = 51
+_N = 500
 _CURVE = f"""
 lim AS (SELECT min(score) AS lo, max(score) AS hi FROM rec),
 th AS (SELECT t, CASE WHEN t = {_N} THEN 'inf'::DOUBLE WHEN t = {_N - 1} THEN hi ELSE lo + t * ((hi - lo) / {_N - 1}) END AS threshold FROM lim, (SELECT unnest(generate_series(0, {_N}))::INTEGER AS t)),
@@ -250,7 +250,7 @@ for _name, _p in {**ranges.LEVELS, "custom": CUSTOM}.items():
     ORACLE[f"range_metrics_{_name}"] = _range_sql(_p)
 
 
-_T = 21
+_T = 500
 _RANGE_CURVE = f"""
 lim AS (SELECT min(score) AS lo, max(score) AS hi FROM rec),
 th AS (SELECT t, CASE WHEN t = {_T} THEN 'inf'::DOUBLE WHEN t = {_T - 1} THEN hi ELSE lo + t * ((hi - lo) / {_T - 1}) END AS threshold FROM lim, (SELECT unnest(generate_series(0, {_T}))::INTEGER AS t)),

@@ -260,6 +260,8 @@ for _kind in ("std", "minmax", "robust"):
     QUERIES[f"scale_{_kind}_trace"] = _scaled("trace", _kind)
     ORACLE[f"scale_{_kind}_trace"] = sql(fx.H, body=_scaled_sql(_kind, "OVER (PARTITION BY trace)"))
     if _kind == "robust":
+        QUERIES["scale_robust_head"] = _scaled("head", _kind)
+        ORACLE["scale_robust_head"] = sql(fx.H, body=_scaled_sql(_kind, "OVER (PARTITION BY trace)", "CASE WHEN idx < 240 THEN {c} END"))
         continue
     QUERIES[f"scale_{_kind}_head"] = _scaled("head", _kind)
     ORACLE[f"scale_{_kind}_head"] = sql(fx.H, body=_scaled_sql(_kind, "OVER (PARTITION BY trace)", "CASE WHEN idx < 240 THEN {c} END"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,16 +43,15 @@ def select_traces(traces: DataFrame, app_id: int = 0, trace_types: Sequence[str]
     return out.where(F.col("trace_type").isin(*trace_types)) if trace_types else out
 
 
-TRUTH = T.StructType([T.StructField(n, T.StringType()) for n in ("trace_name", "anomaly_type", "anomaly_details", "root_cause_start", "root_cause_end", "extended_effect_end")])
-
-
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """(trace, type_id, anomaly_details, root_cause_start, root_cause_end, extended_effect_end, event_order) from the truth table."""
-    raw = spark.read.schema(TRUTH).option("header", True).csv(path)
+    """(trace, type_id, anomaly_details, root_cause_start, root_cause_end, extended_effect_end, event_order) from the truth table.
+
+    Columns go by the file's header. Events are numbered by file and line; the table is written by hand, so one task numbers it."""
+    raw = spark.read.option("header", True).csv(path).withColumn("_at", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")))
     kinds = F.array(*[F.lit(t) for t in ANOMALY_TYPES])
     at = lambda c: F.timestamp_seconds(F.col(c).try_cast("double")).alias(c)
-    out = raw.select(F.col("trace_name").alias("trace"), F.nullif(F.array_position(kinds, F.col("anomaly_type")), F.lit(0)).cast("int").alias("type_id"), "anomaly_details", at("root_cause_start"), at("root_cause_end"), at("extended_effect_end"))
-    return out.withColumn("event_order", F.monotonically_increasing_id())
+    out = raw.select(F.col("trace_name").alias("trace"), F.nullif(F.array_position(kinds, F.col("anomaly_type")), F.lit(0)).cast("int").alias("type_id"), "anomaly_details", at("root_cause_start"), at("root_cause_end"), at("extended_effect_end"), "_at")
+    return out.withColumn("event_order", (F.row_number().over(Window.orderBy("_at")) - 1).cast("long")).drop("_at")
 
 
 def load(spark: SparkSession, path: str, kind: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
@@ -97,18 +96,25 @@ def exists(spark: SparkSession, path: str) -> bool:
 def upsert_table(new: DataFrame, path: str, keys: Sequence[str] = ("method", "granularity", "cls", "metric")) -> None:
     """Rows of the table at path replaced or added by key; the table is made where there is none.
 
-    The merged table is written beside the old one before it takes its place."""
+    The merged table is written beside the old one, which steps aside before it and is deleted last: a whole table is there at
+    any time, and a call that finds one set aside by a lost one takes it back."""
     spark = new.sparkSession
+    beside, aside = f"{path.rstrip('/')}__merged", f"{path.rstrip('/')}__old"
+    fs = spark._jvm.org.apache.hadoop.fs
+    at, merged, old = fs.Path(path), fs.Path(beside), fs.Path(aside)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(old):
+        if system.exists(at):
+            system.delete(old, True)
+        else:
+            system.rename(old, at)
     if not exists(spark, path):
         save(new, path)
         return
-    beside = f"{path.rstrip('/')}__merged"
     save(upsert(spark.read.parquet(path), new, keys), beside)
-    fs = spark._jvm.org.apache.hadoop.fs
-    at, merged = fs.Path(path), fs.Path(beside)
-    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.delete(at, True)
-    system.rename(merged, at)
+    if not (system.rename(at, old) and system.rename(merged, at)):
+        raise OSError(f"{path} could not be replaced")
+    system.delete(old, True)
     spark.catalog.refreshByPath(path)
 
 

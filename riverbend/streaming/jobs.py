@@ -167,12 +167,19 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def drain(result: DataFrame, mode: str = "complete", name: str | None = None) -> DataFrame:
-    """Everything that is available now, run to the end into memory; for tests and small results."""
-    name = name or f"drained_{uuid.uuid4().hex}"
-    q = result.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint_folder(result.sparkSession)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return result.sparkSession.table(name)
+def drain(result: DataFrame, mode: str = "complete") -> DataFrame:
+    """Everything that is available now, run to the end and read back from files in the shared folder.
+
+    A batch that is run again after a failure replaces its own files: all results so far with complete, else those of its number."""
+    spark, folder = result.sparkSession, checkpoint_folder(result.sparkSession)
+    at = f"{folder}/out"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/batch={0 if mode == 'complete' else number}")
+
+    spark.createDataFrame([], result.schema).write.parquet(f"{at}/batch=-1")  # a stream without input runs no batch
+    result.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(at).select(*result.columns)
 
 
 def save(result: DataFrame, path: str, mode: str = "append", kind: str = "parquet", every: str | None = None) -> StreamingQuery:
