@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import KEYS
+from ..functions.store import stored
+from . import split
+from .explain import classify, sample
 
 POLICIES = ("none", "before", "after", "both")
 
@@ -115,6 +118,30 @@ def cross_accuracy(rules: DataFrame, long: DataFrame, classes: DataFrame, half_o
     return accuracy(pred, ["rule", "instance"])
 
 
+def ed1_accuracy(records: DataFrame, features: Sequence[str], explainer: Callable, test: float = 0.2, repetitions: int = 5, half_open: bool = False, seed: int = 0) -> DataFrame:
+    """(instance, precision, recall, f1): rules found on a part of an instance's records, judged on the rest of them, averaged over
+    the repetitions that gave a rule.
+
+    records: instance, idx, y, features; explainer: from such a frame and features to (instance, ft, lo, hi). Normal and
+    anomalous records are split apart, so both parts have their share of each."""
+    parts = split.train_test(records, test, F.concat_ws("/", "instance", "idx"), repetitions, ["instance", "y"], seed)
+    named = stored(parts.withColumn("instance", F.concat_ws("#", "instance", "repetition")))
+    held = named.where("dataset = 'test'").select("instance", "idx", "y", *features)
+    rules = explainer(named.where("dataset = 'train'").select("instance", "idx", "y", *features), features).select("instance", "ft", "lo", "hi")
+    judged = classify(rules.withColumn("rule", F.col("instance")), sample(held, features, "instance"), half_open, ("instance", "idx"))
+    known = judged.join(held.select("instance", "idx", "y"), ["instance", "idx"])
+    each = accuracy(known, ["instance"]).withColumn("instance", F.regexp_extract("instance", "^(.*)#", 1))
+    return each.groupBy("instance").agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def explanation_row(metrics: DataFrame, values: Sequence[str], classes: Sequence[int], weight: str = "n") -> DataFrame:
+    """One row: each value per class as <class>_<VALUE> and, weighed by the classes' numbers, as GLOBAL_<VALUE>. metrics: class, weight, values."""
+    known = lambda v: F.nanvl(F.col(v).cast("double"), F.lit(None).cast("double"))
+    own = [F.max(F.when(F.col("class") == c, known(v))).alias(f"{c}_{v.upper()}") for c in classes for v in values]
+    total = [F.try_divide(F.sum(known(v) * F.col(weight)), F.sum(F.when(known(v).isNotNull(), F.col(weight)))).alias(f"GLOBAL_{v.upper()}") for v in values]
+    return metrics.agg(*total, *own)
+
+
 def weighted_mean(metrics: DataFrame, value: str, weight: str) -> DataFrame:
     """One row: the mean of the classes' values by weight; classes without a value count for nothing, and without any it is null."""
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))

@@ -171,5 +171,10 @@ def named(metrics: DataFrame, dataset: str = "test") -> DataFrame:
     return long.select("granularity", F.upper(F.concat_ws("_", F.lit(dataset), "cls", "metric")).alias("column"), "value")
 
 
+def metric_row(long: DataFrame, columns: Sequence[str], key: str = "granularity") -> DataFrame:
+    """One row per granularity with the named columns of named(), in their order; null where a metric is missing."""
+    return long.where(F.col("column").isin(*columns)).groupBy(key).pivot("column", list(columns)).agg(F.first("value"))
+
+
 def predicted_ranges(records: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return ranges(records, F.col("pred") == 1, keys)

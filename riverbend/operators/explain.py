@@ -6,7 +6,8 @@ sample(). Explanations are rows (instance, ft, lo, hi): a record is anomalous wh
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -236,16 +237,17 @@ def lime(wide: DataFrame, features: Sequence[str], score, records: DataFrame, n_
     """(instance, idx, ft, weight): per record the features whose deciles matter most to a score near it.
 
     score: a function of a numpy matrix to scores. Perturbed records are drawn from the deciles of wide; a ridge weighs whether each
-    feature stayed in the record's decile, nearer ones more. Each record is explained by itself, in Python batches."""
+    feature stayed in the record's decile, nearer ones more. Each record is explained by itself, in Python batches, with draws
+    that depend on its instance, idx and the seed alone."""
     cuts = wide.agg(*[F.percentile(c, F.array(*[F.lit(q / 10) for q in range(11)])).alias(c) for c in features]).first()
     edges = np.array([cuts[c] for c in features], float)
     kind = dict(records.dtypes)["instance"]
 
     def work(batches):
-        rng = np.random.default_rng(seed)
         for pdf in batches:
             rows = []
             for instance, idx, x in zip(pdf.instance, pdf.idx, pdf[list(features)].to_numpy(float), strict=True):
+                rng = np.random.default_rng([seed, zlib.crc32(f"{instance}/{idx}".encode())])
                 own = np.array([min(9, max(0, np.searchsorted(e[1:-1], v, side="right"))) for e, v in zip(edges, x, strict=True)])
                 bins = rng.integers(0, 10, (samples, len(x)))
                 same = bins == own
@@ -261,6 +263,19 @@ def lime(wide: DataFrame, features: Sequence[str], score, records: DataFrame, n_
     return records.mapInPandas(work, f"instance {kind}, idx long, ft int, weight double")
 
 
+def lime_windows(windows: DataFrame, features: Sequence[str], score: Callable, size: int, n_features: int = 5, samples: int = 500, seed: int = 0) -> DataFrame:
+    """(instance, idx, ft, weight): lime() on windows of `size` records (instance, w_start, window, y), for those with y = 1.
+
+    score: of a model on windows, such as nets' score_windows. Every position of a feature is an input of its own; ft is the
+    feature and idx the window's start, so a feature can come up to n_features times."""
+    d = len(features)
+    names = [f"_p{t}_{i}" for t in range(size) for i in range(d)]
+    cells = [F.col("window")[t][i].alias(f"_p{t}_{i}") for t in range(size) for i in range(d)]
+    flat = windows.select("instance", F.col("w_start").cast("long").alias("idx"), "y", *cells)
+    found = lime(flat, names, lambda x: score(x.reshape(len(x), size, d)), flat.where("y = 1").drop("y"), n_features, samples, seed)
+    return found.withColumn("ft", (F.col("ft") % d).cast("int"))
+
+
 def union_of(explanations: DataFrame) -> DataFrame:
     """(instance, fts): features that explain any record of an instance."""
     return explanations.groupBy("instance").agg(F.array_sort(F.collect_set("ft")).alias("fts"))

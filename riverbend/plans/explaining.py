@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.store import stored
-from ..operators import edeval, explain, report
+from ..operators import edeval, explain, nets, report, scale, windows
 from . import fixtures as fx
 from .fixtures import FEATURES, sql
 from .series import r6, six
@@ -163,8 +163,12 @@ def macrobase_explain(spark, sf_dir):
 
 @query()
 def lime_explain(spark, sf_dir):
-    wide = _wide(spark, sf_dir)
-    return explain.union_of(explain.lime(wide, FEATURES, lambda x: x[:, 1] / 100 + x[:, 0] * 0, wide.where("y = 1").select("instance", "idx", *FEATURES), 2, 200))
+    """Windows that end in an anomalous record, by the score of an autoencoder of the undisturbed traces."""
+    h = stored(fx.labelled(scale.scale_trace(fx.hourly(spark, sf_dir), FEATURES)))
+    model = nets.DenseAutoencoder(FEATURES, 4, (8,), 3, 20, 0.02).fit(h.where(F.col("trace").isin(*fx.TRAIN)))
+    last = h.select("trace", (F.col("idx") - 3).alias("w_start"), (F.col("label") > 0).cast("int").alias("y"))
+    held = windows.sliding_windows(h, FEATURES, 4).join(last, ["trace", "w_start"]).withColumnRenamed("trace", "instance")
+    return explain.union_of(explain.lime_windows(held, FEATURES, model.score_windows, 4))
 
 
 _RULES = """

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.store import stored
-from ..operators import clean, edeval, evaluate, models, report, resample, scale, threshold
+from ..operators import clean, edeval, evaluate, explain, models, nets, report, resample, scale, split, threshold
 from ..sources import io
+from ..streaming.jobs import checkpoint_folder
 from . import fixtures as fx
 from . import lifecycle
 from .explaining import LAB
@@ -91,3 +92,141 @@ def chain_of_steps(spark, sf_dir):
     data = stored(lifecycle.datasets(raw, fx.ground_truth(h), FEATURES, fx.TRAIN, s))
     scored = stored(lifecycle.scores(data, FEATURES, s, models.LinearForecaster(FEATURES, 2)))
     return evaluate.named(lifecycle.evaluation(stored(lifecycle.detections(data, scored, s)), s).withColumn("granularity", F.lit("global"))).select("granularity", "column", *six("value"))
+
+
+# ---------------------------------------------------------------- sinks read back
+
+
+_SETS = (fx.H, fx.GT, fx.LAB, "ds AS (SELECT *, CASE WHEN trace IN ('click', 'view') THEN 'train' ELSE 'test' END AS dataset FROM lab)")
+
+
+def _datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.split_by_type(fx.labelled(fx.hourly(spark, sf_dir)), fx.TRAIN, "trace")
+
+
+@query(sql(*_SETS, body="SELECT trace, idx, f_cnt, f_sum, label FROM ds WHERE dataset = 'test'"))
+def dataset_sink(spark, sf_dir):
+    at = f"{checkpoint_folder(spark)}/datasets"
+    io.save_datasets(_datasets(spark, sf_dir), at)
+    return io.load(spark, at).where("dataset = 'test'").select("trace", "idx", "f_cnt", "f_sum", "label")
+
+
+@query(sql(*_SETS, body="SELECT trace, idx, label FROM ds"))
+def label_sink(spark, sf_dir):
+    at = f"{checkpoint_folder(spark)}/labels"
+    io.save_labels(_datasets(spark, sf_dir), at, ["trace"])
+    return io.load(spark, at)
+
+
+@query("SELECT r_name AS region, n_name AS nation FROM region JOIN nation ON r_regionkey = n_regionkey")
+def mixed_load(spark, sf_dir):
+    at = checkpoint_folder(spark)
+    io.save(fx.table(spark, sf_dir, "region").select("r_regionkey", "r_name"), f"{at}/region", "json")
+    io.save(fx.table(spark, sf_dir, "nation").select("n_regionkey", "n_name"), f"{at}/nation", "orc")
+    held = io.load_many(spark, at, {"region": "json", "nation": "orc"})
+    return held["region"].join(held["nation"], F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"))
+
+
+# ---------------------------------------------------------------- samples
+
+
+@query(sql(*LAB, body="SELECT trace, idx, CAST(label > 0 AS INTEGER) AS label FROM lab"))
+def split_merge_by_label(spark, sf_dir):
+    return clean.merged(*clean.by_label(fx.labelled(fx.hourly(spark, sf_dir)).select("trace", "idx", "label"))).select("trace", "idx", "label")
+
+
+@query(sql(*_SETS, "k AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('21:' || trace || '/' || idx)) - 1 AS r, count(*) OVER (PARTITION BY dataset) AS n FROM ds)", body="SELECT dataset, trace, idx FROM k WHERE r < floor(0.3 * n)"))
+def data_proportion(spark, sf_dir):
+    return split.proportion(_datasets(spark, sf_dir), 0.3, F.concat_ws("/", "trace", "idx")).select("dataset", "trace", "idx")
+
+
+@query(
+    sql(
+        *LAB,
+        """
+e AS (SELECT unnest(generate_series(0, 4)) AS repetition, trace, idx, CAST(label > 0 AS INTEGER) AS y FROM lab),
+k AS (SELECT *, row_number() OVER (PARTITION BY y, repetition ORDER BY md5('0:' || repetition || '/' || trace || '/' || idx)) - 1 AS r, count(*) OVER (PARTITION BY y, repetition) AS n FROM e)""",
+        body="SELECT CAST(repetition AS INTEGER) AS repetition, trace, idx, CASE WHEN r < floor((1 - 0.2) * n) THEN 'train' ELSE 'test' END AS dataset FROM k",
+    )
+)
+def train_test_repeats(spark, sf_dir):
+    lab = fx.labelled(fx.hourly(spark, sf_dir)).select("trace", "idx", (F.col("label") > 0).cast("int").alias("y"))
+    return split.train_test(lab, 0.2, F.concat_ws("/", "trace", "idx"), 5, ["y"]).select("repetition", "trace", "idx", "dataset")
+
+
+# ---------------------------------------------------------------- rows of metrics
+
+
+_POINT = """
+c1 AS (SELECT lab.trace, label, coalesce(pred, 0) AS pred FROM lab JOIN p ON p.trace = lab.trace AND p.idx = lab.idx),
+g1 AS (SELECT sum(CASE WHEN label > 0 AND pred = 1 THEN 1 ELSE 0 END)::DOUBLE AS tp, sum(pred) AS pp, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) AS rp FROM c1),
+g2 AS (SELECT CASE WHEN pp = 0 THEN 1.0 ELSE tp / pp END AS pr, CASE WHEN rp = 0 THEN 1.0 ELSE tp / rp END AS re FROM g1)"""
+
+
+@query(sql(*FULL, _POINT, body="SELECT 'global' AS granularity, round(pr, 6) AS \"TEST_GLOBAL_PRECISION\", round(re, 6) AS \"TEST_GLOBAL_RECALL\", round(2 * pr * re / (pr + re), 6) AS \"TEST_GLOBAL_F\" FROM g2"))
+def detection_row(spark, sf_dir):
+    h = stored(fx.hourly(spark, sf_dir))
+    records = fx.predicted(h).select("trace", "idx", "pred").join(fx.labelled(h).select("trace", "idx", "label"), ["trace", "idx"])
+    names = ["TEST_GLOBAL_PRECISION", "TEST_GLOBAL_RECALL", "TEST_GLOBAL_F"]
+    long = evaluate.named(evaluate.point_metrics(records).withColumn("granularity", F.lit("global")))
+    return evaluate.metric_row(long, names).select("granularity", *six(*names))
+
+
+_LENGTHS = "ln AS (SELECT class, count(*) AS n, avg(r_end - r_start) AS length, max(r_end - r_start)::DOUBLE AS longest FROM real GROUP BY class)"
+
+
+@query(sql(*LAB, fx.REAL, _LENGTHS, body="SELECT round(sum(length * n) / sum(n), 6) AS length FROM ln"))
+def weighted_global_mean(spark, sf_dir):
+    return edeval.weighted_mean(_lengths(spark, sf_dir), "length", "n").select(*six("length"))
+
+
+def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("r_end") - F.col("r_start")
+    return fx.truth(fx.labelled(fx.hourly(spark, sf_dir))).groupBy("class").agg(F.count("*").alias("n"), F.avg(size).alias("length"), F.max(size).cast("double").alias("longest"))
+
+
+_CELLS = [f'round(max(CASE WHEN class = {c} THEN {v} END), 6) AS "{c}_{v.upper()}"' for c in range(1, 7) for v in ("length", "longest")]
+
+
+@query(sql(*LAB, fx.REAL, _LENGTHS, body='SELECT round(sum(length * n) / sum(n), 6) AS "GLOBAL_LENGTH", round(sum(longest * n) / sum(n), 6) AS "GLOBAL_LONGEST", ' + ", ".join(_CELLS) + " FROM ln"))
+def explanation_row(spark, sf_dir):
+    out = edeval.explanation_row(_lengths(spark, sf_dir), ["length", "longest"], range(1, 7))
+    return out.select(*six(*out.columns))
+
+
+# ---------------------------------------------------------------- models on windows, explanations judged on held-out records
+
+
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(scale.scale_trace(fx.hourly(spark, sf_dir), FEATURES).drop("sec"))
+
+
+def _train(h: DataFrame) -> DataFrame:
+    return h.where(F.col("trace").isin(*fx.TRAIN))
+
+
+@query()
+def autoencoder_scores(spark, sf_dir):
+    h = _scaled(spark, sf_dir)
+    return nets.DenseAutoencoder(FEATURES, 6, (12,), 4, 25, 0.02).fit(_train(h)).scores(h).select("trace", "idx", *six("score"))
+
+
+@query()
+def recurrent_forecast(spark, sf_dir):
+    h = _scaled(spark, sf_dir)
+    made = nets.RecurrentForecaster(FEATURES, 5, 12, 25, 0.02).fit(_train(h)).predict(h)
+    return models.errors(made, FEATURES).select(*six("mse", "mae"))
+
+
+@query()
+def bigan_scores(spark, sf_dir):
+    h = _scaled(spark, sf_dir)
+    return nets.BiGAN(FEATURES, 6, 12, 4, 25, 0.01).fit(_train(h)).scores(h).select("trace", "idx", *six("score"))
+
+
+@query()
+def ed1_accuracy(spark, sf_dir):
+    lab = fx.labelled(fx.hourly(spark, sf_dir))
+    wide = lab.select(F.col("trace").alias("instance"), "idx", (F.col("label") > 0).cast("int").alias("y"), *FEATURES)
+    out = edeval.ed1_accuracy(wide, FEATURES, explain.macrobase, repetitions=2, half_open=True)
+    return out.select("instance", *six("precision", "recall", "f1"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .operators import clean, edeval, evaluate, explain, features, models, ranges, resample, scale, score, split, threshold
+from .operators import clean, edeval, evaluate, explain, features, models, nets, ranges, resample, scale, score, split, threshold
 from .sources import io
 from .streaming import jobs
 
@@ -15,9 +15,10 @@ FAMILIES: dict[str, dict] = {
     "bundles": features.BUNDLES,
     "transformers": scale.STEPS,
     "splitters": {"random.split": split.random_split, "stratified.split": split.stratified_split},
-    "forecasters": models.FORECASTERS,
-    "reconstructors": models.RECONSTRUCTORS,
+    "forecasters": models.FORECASTERS | {"rnn.forecasting": nets.RecurrentForecaster},
+    "reconstructors": models.RECONSTRUCTORS | {"ae": nets.DenseAutoencoder, "bigan": nets.BiGAN},
     "scorers": score.SCORERS,
+    "window_scorers": {"mse": nets.DenseAutoencoder.score_windows, "re": nets.RecurrentForecaster.score_windows, "mse.dis": nets.BiGAN.score_windows, "mse.ft": nets.BiGAN.score_windows},
     "thresholds": threshold.SELECTORS,
     "evaluations": {"point": evaluate.point_metrics, "range": evaluate.range_metrics} | {k: v for k, v in ranges.LEVELS.items()},
     "explainers": explain.EXPLAINERS,
