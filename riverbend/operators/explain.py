@@ -255,7 +255,7 @@ def lime(wide: DataFrame, features: Sequence[str], score, records: DataFrame, n_
                 high = np.take_along_axis(edges, bins.T + 1, 1).T
                 data = np.where(same, x, low + rng.random(bins.shape) * (high - low))
                 z = np.hstack([np.ones((samples, 1)), same])
-                w = np.exp(-((~same).sum(1) ** 2) / (0.75**2 * len(x)))
+                w = np.sqrt(np.exp(-(~same).sum(1) / (0.75**2 * len(x))))  # the squared distance of 0-1 vectors is their number of differences
                 beta = np.linalg.solve((z * w[:, None]).T @ z + np.eye(z.shape[1]), (z * w[:, None]).T @ score(data))[1:]
                 rows += [(instance, idx, int(f), float(beta[f])) for f in np.argsort(-np.abs(beta), kind="stable")[:n_features]]
             yield pd.DataFrame(rows, columns=["instance", "idx", "ft", "weight"])
