@@ -230,3 +230,28 @@ def ed1_accuracy(spark, sf_dir):
     wide = lab.select(F.col("trace").alias("instance"), "idx", (F.col("label") > 0).cast("int").alias("y"), *FEATURES)
     out = edeval.ed1_accuracy(wide, FEATURES, explain.macrobase, repetitions=2, half_open=True)
     return out.select("instance", *six("precision", "recall", "f1"))
+
+
+# ---------------------------------------------------------------- where records are downsampled
+
+
+_BINS = "(SELECT trace, k // 2 AS idx, avg(v) AS v FROM (SELECT trace, v, row_number() OVER (PARTITION BY trace ORDER BY idx) - 1 AS k FROM {0}) GROUP BY 1, 2)"
+_DIFF = "(SELECT * FROM (SELECT trace, idx, v - lag(v) OVER (PARTITION BY trace ORDER BY idx) AS v FROM {0}) WHERE v IS NOT NULL)"
+_Z = "(SELECT trace, idx, (v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w = 0 THEN 1 ELSE stddev_pop(v) OVER w END AS v FROM {0} WINDOW w AS (PARTITION BY trace))"
+_ORDERS = {"first": (_BINS, _DIFF, _Z), "middle": (_DIFF, _BINS, _Z), "last": (_DIFF, _Z, _BINS)}
+
+
+def _position(position: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out, names = lifecycle.build_features(fx.hourly(spark, sf_dir), ["f_sum"], "difference_1_drop", "trace_scaling", 1, 2, position)
+        return out.select("trace", "idx", F.round(names[0], 6).alias("v"))
+
+    return f
+
+
+for _at, _steps in _ORDERS.items():
+    _source = "(SELECT trace, idx, f_sum AS v FROM h)"
+    for _step in _steps:
+        _source = _step.format(_source)
+    QUERIES[f"downsample_{_at}"] = _position(_at)
+    ORACLE[f"downsample_{_at}"] = sql(fx.H, body=f"SELECT trace, idx, round(v, 6) AS v FROM {_source}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import numbered
 from ..operators import clean, edeval, evaluate, models, rangejoin, ranges, resample, scale, score, threshold
+from ..operators import features as alteration
 from ..operators.explain import exstream, macrobase
 from ..operators.windows import class_ranges
 
@@ -42,6 +43,31 @@ def datasets(raw: DataFrame, events: DataFrame, features: Sequence[str], normal:
     return clean.split_by_type(out.join(kinds, "trace"), normal)
 
 
+#: Where records are downsampled: before features are altered, between that and their transformation, or after both.
+POSITIONS = ("first", "middle", "last")
+#: Scorer, forecaster or reconstructor by name: the pairs that reports compare unless told otherwise.
+COMPARED = (("rnn.forecasting", "re"), ("ae", "mse"), ("bigan", "mse.ft"))
+
+
+def build_features(records: DataFrame, features: Sequence[str], alter: str = "", chain: str = "trace_scaling", raw_period: int = 1, period: int = 1, position: str = "first", **params) -> tuple[DataFrame, list[str]]:
+    """(trace, idx, features) and the features' names: altered by one chain, transformed by another, downsampled from raw_period
+    to period at a position, where the two periods differ."""
+    if position not in POSITIONS:
+        raise ValueError(f"position must be one of {POSITIONS}")
+    out, names = records.select("trace", "idx", *features), list(features)
+
+    def thinned(df: DataFrame, at: str) -> DataFrame:
+        return resample.resample_rank(numbered(df, by=["idx"]), raw_period, period, names) if position == at and period != raw_period else df
+
+    out = thinned(out, "first")
+    if alter:
+        out, names = alteration.apply_chain(out, names, alter)
+    out = thinned(out.select("trace", "idx", *names), "middle")
+    if chain:
+        out, names = scale.transform(out, names, chain, **params)
+    return thinned(out, "last"), names
+
+
 def scores(data: DataFrame, features: Sequence[str], s: Settings = Settings(), model=None) -> DataFrame:
     """(trace, idx, score) by a forecaster fitted on the training records."""
     train: Column = F.col("dataset") == "train"
