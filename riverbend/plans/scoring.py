@@ -272,9 +272,13 @@ c0 AS (SELECT ca.t, cls, coalesce(precision, 1.0) AS precision, recall FROM ca L
 curve AS (SELECT *, {_F1} AS f FROM c0)"""
 
 
-@query(sql(*FULL, _REC, _RANGE_CURVE, body=f"SELECT t, cls, {r6('precision', 'recall', 'f')} FROM curve"))
+# means of rewards such as 5/128 end in a 5 at the seventh decimal, where the order of a sum decides a rounding to six
+_NINE = ", ".join(f"round({c}, 9) AS {c}" for c in ("precision", "recall", "f"))
+
+
+@query(sql(*FULL, _REC, _RANGE_CURVE, body=f"SELECT t, cls, {_NINE} FROM curve"))
 def pr_curve_range(spark, sf_dir):
-    return evaluate.range_curve(_records(spark, sf_dir), ranges.LEVELS["ad2"], _T).select("t", "cls", *six("precision", "recall", "f"))
+    return evaluate.range_curve(_records(spark, sf_dir), ranges.LEVELS["ad2"], _T).select("t", "cls", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f")])
 
 
 @query(sql(*FULL, _REC, _RANGE_CURVE, body=_AREA))
