@@ -1,8 +1,12 @@
 """Operators on documents against plain re-statements, and their defined results in odd cases."""
 
+import contextlib
 import functools
+import os
 import random
 import re
+import threading
+import time
 import zlib
 
 import brute
@@ -518,6 +522,39 @@ def test_quality_tells_words_in_order_from_words_in_disorder(spark):
     assert np.mean([kept[i] for i in range(40, 60)]) > 0.7 and not any(kept[i] for i in range(60, 80))
 
 
+def test_quality_takes_little_disk(spark, tmp_path):
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 2 = 0")
+    labels = texts.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("quality"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
+    folders = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), str(tmp_path)]
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+
+    def used():
+        total = 0
+        for at in (*folders, shared):
+            for root, _, files in os.walk(at):
+                for name in files:
+                    with contextlib.suppress(OSError):
+                        total += os.stat(os.path.join(root, name)).st_size
+        return total
+
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before, most, done = used(), 0, threading.Event()
+
+    def watch():
+        nonlocal most
+        while not done.wait(0.1):
+            most = max(most, used() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    rows = quality.classify(texts, labels, folder=f"file://{tmp_path}/m").count()
+    done.set()
+    watcher.join()
+    assert rows == texts.count() and most < 1.25 * size
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (8, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: (r.perplexity is None, r.kept) for r in quality.classify(odd, labels).collect()}
